@@ -72,7 +72,7 @@ def log_search(spark, sf_dir):
         .write.partitionBy("app_id", "log_type")
         .text(path)
     )
-    logs = joblogs.read_logs(spark, path)
+    logs = joblogs.read_logs(spark, path, partitioned=True)
     return joblogs.log_search(logs, app_rows(events, _DAY_APP), _job(7) + " FAILED")
 
 

@@ -80,4 +80,4 @@ def json_value(doc: Column, path: str) -> Column:
 
 def split_names(names: Column) -> Column:
     """A comma list as an array of trimmed names."""
-    return F.transform(F.split(names, ","), F.trim)
+    return F.transform(F.split(names, ","), lambda name: F.trim(name))

@@ -25,21 +25,27 @@ SECONDS_LINE = r"^Processing time for task (.+) was ([0-9.eE+-]+) seconds$"
 EVENT_WORDS = (" STARTED", " SUCCEEDED", " FAILED", " at time ", "Processing time for task ")
 
 
-def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Log lines of files laid out as ``<path>/<app id>/<log type>/<file>``, or
-    with ``app_id=``/``log_type=`` in the directory names."""
+def read_logs(spark: SparkSession, path: str, partitioned: bool = False) -> DataFrame:
+    """Log lines of files laid out as ``<path>/<app id>/<log type>/<file>``.
+
+    With ``partitioned`` the folders are named ``app_id=<app id>`` and
+    ``log_type=<log type>``. Then a filter on, or a join to, some applications
+    or types lists and reads only their folders.
+    """
+    reader = spark.read.option("lineSep", "\n")
+    if partitioned:
+        lines = reader.schema("value string, app_id string, log_type string").text(path)
+        return lines.select("app_id", "log_type", F.col("value").alias("line"))
     where = F.col("_metadata.file_path")
-    parts = r"/(?:app_id=)?([^/]+)/(?:log_type=)?([^/]+)/[^/]+$"
-    text = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("lineSep", "\n")
+    parts = r"/([^/]+)/([^/]+)/[^/]+$"
+    return (
+        reader.option("recursiveFileLookup", True)
         .text(path)
-        .withColumnRenamed("value", "line")
-    )
-    return text.select(
-        F.regexp_extract(where, parts, 1).alias("app_id"),
-        F.regexp_extract(where, parts, 2).alias("log_type"),
-        "line",
+        .select(
+            F.regexp_extract(where, parts, 1).alias("app_id"),
+            F.regexp_extract(where, parts, 2).alias("log_type"),
+            F.col("value").alias("line"),
+        )
     )
 
 

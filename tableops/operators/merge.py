@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -167,10 +167,3 @@ def upsert_newer(
         newest = newest.repartition(buckets, *keys)
     kept = base.join(newest.select(*keys), keys, "left_anti").select(*base.columns)
     return union_all(kept, newest)
-
-
-def tie_report(df: DataFrame, keys: list[str], ts: str) -> Row:
-    """The greatest number of rows one key has at one time, and of rows per key."""
-    per_time = df.groupBy(*keys, event_time(df, ts).alias(_TIME)).agg(F.count(F.lit(1)).alias("n"))
-    per_key = per_time.groupBy(*keys).agg(F.max("n").alias("tie"), F.sum("n").alias("n"))
-    return per_key.agg(F.max("tie").alias("most_ties"), F.max("n").alias("most_rows")).first()

@@ -1,0 +1,154 @@
+import base64
+import json
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from tableops.functions import scalars
+from tableops.sources import api, files, sheets
+
+
+def values(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def test_sheet(spark, db, tmp_path):
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "a.csv").write_text(
+        ' Order ID ,Client/Name,Note\n1, x ,"two\nlines"\norder_id,client_name,note\n2,,\n3,z\n'
+    )
+    path = str(tmp_path / "s")
+    df = sheets.read_sheet(spark, path)
+    assert df.schema.simpleString() == "struct<order_id:string,client_name:string,note:string>"
+    want = [("1", " x ", "two\nlines"), ("2", "", ""), ("3", "z", "")]
+    assert values(df) == want
+    assert values(sheets.sheet_to_table(spark, path, f"{db}.s")) == want
+    assert values(sheets.sheet_to_table(spark, path, f"{db}.s")) == want
+    with pytest.raises(Exception, match="already exists"):
+        sheets.sheet_to_table(spark, path, f"{db}.s", overwrite=False)
+    out = str(tmp_path / "out")
+    sheets.sheet_to_files(spark, path, out)
+    back = sheets.read_sheet(spark, out, delimiter="|")
+    assert back.columns == df.columns and values(back) == want
+
+
+def test_header_names():
+    assert scalars.normalized_names([" A b/C ", "d"]) == ["a_b_c", "d"]
+    with pytest.raises(ValueError):
+        scalars.normalized_names(["A b", "a_B"])
+    with pytest.raises(ValueError):
+        scalars.normalized_names(["a", " "])
+
+
+def test_name_column_and_frame(spark):
+    df = spark.createDataFrame([("\t A b/C ",)], ["X y"])
+    assert df.select(scalars.normalize_name(F.col("X y"))).first()[0] == "a_b_c"
+    assert scalars.normalize_columns(df).columns == ["x_y"]
+
+
+def endpoints(spark, bodies):
+    rows = [("application/json;base64," + base64.b64encode(b.encode()).decode(),) for b in bodies]
+    return spark.createDataFrame(rows, "endpoint string")
+
+
+def test_fetch_files_and_record_lists(spark, db, tmp_path):
+    for i, body in enumerate(['[{"a": 1, "b": "x"}, {"b": "é"}]', "[]", '[{"a": 3, "c": 9}]']):
+        (tmp_path / f"{i}.json").write_text(body)
+    urls = spark.createDataFrame([(f"{i}.json",) for i in range(3)], "path string")
+    got = api.fetch(urls, f"file://{tmp_path}/", partitions=3)
+    assert got.columns == ["url", "status", "body"]
+    assert {r["status"] for r in got.collect()} == {200}
+    want = sorted([(1, "x"), (None, "é"), (3, None)], key=str)
+    assert values(api.records(got, "a: int, b: string")) == want
+    args = (urls, f"{db}.t", "a: int, b: string")
+    assert values(api.api_to_table(*args, base_url=f"file://{tmp_path}/")) == want
+    with pytest.raises(Exception, match="already exists"):
+        api.api_to_table(*args, base_url=f"file://{tmp_path}/")
+    assert values(api.api_to_table(*args, overwrite=True, base_url=f"file://{tmp_path}/")) == want
+    missing = spark.createDataFrame([("none.json",)], "path string")
+    with pytest.raises(Exception, match="none.json"):
+        api.fetch(missing, f"file://{tmp_path}/").collect()
+
+
+def test_record_bodies_that_are_no_json(spark):
+    got = api.fetch(endpoints(spark, ["<html>"]), "data:", user="me", token="secret")
+    with pytest.raises(Exception, match="MALFORMED|malformed|Malformed"):
+        api.records(got, "a: int").collect()
+
+
+def test_column_lists(spark):
+    body = json.dumps({"a": [1, 2, None], "b": ["x", None, "z"]})
+    got = api.columns(api.fetch(endpoints(spark, [body]), "data:"), {"a": "int", "b": "string"})
+    assert got.columns == ["a", "b"]
+    assert values(got) == sorted([(1, "x"), (2, None), (None, "z")], key=str)
+    for bad in ({"a": [1], "b": []}, {"a": [1]}):
+        frame = api.fetch(endpoints(spark, [json.dumps(bad)]), "data:")
+        with pytest.raises(Exception, match="differ in length"):
+            api.columns(frame, {"a": "int", "b": "string"}).collect()
+
+
+def test_text_and_records(spark, tmp_path):
+    lines = spark.createDataFrame([("a\rb",), ("",), ("c",)], "value string")
+    files.write_records(lines, str(tmp_path / "l"))
+    assert values(files.read_lines(spark, str(tmp_path / "l"))) == [("",), ("a\rb",), ("c",)]
+    texts = spark.createDataFrame([("a\nb",), ("c",)], "value string")
+    files.write_records(texts, str(tmp_path / "r"), "||")
+    assert values(files.read_records(spark, str(tmp_path / "r"), "||")) == [("a\nb",), ("c",)]
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "f.txt").write_text("a\nb\n")
+    whole = files.read_whole(spark, str(tmp_path / "w")).first()
+    assert whole["value"] == "a\nb\n" and whole["path"].endswith("w/f.txt")
+
+
+def test_json(spark, tmp_path):
+    schema = "id long, ts timestamp_ntz, tags array<string>"
+    rows = [(1, datetime(2024, 1, 1, 0, 0, 0, 123456), ["a"]), (2, None, None)]
+    files.write_json(spark.createDataFrame(rows, schema), str(tmp_path / "j"))
+    assert values(files.read_json(spark, str(tmp_path / "j"), schema)) == sorted(
+        [(1, rows[0][1], ["a"]), (2, None, None)], key=str
+    )
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "a.json").write_text('{\n "id": 7,\n "tags": []\n}')
+    assert files.read_json(spark, str(tmp_path / "one"), schema, whole=True).first()["id"] == 7
+    (tmp_path / "one" / "a.json").write_text("no json")
+    with pytest.raises(Exception):
+        files.read_json(spark, str(tmp_path / "one"), schema).collect()
+
+
+def test_inventory(spark, tmp_path):
+    sizes = {"t1/a": 10, "t1/p=1/b": 20, "t2/c": 5, "d": 1}
+    for name, size in sizes.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * size)
+    got = files.inventory(spark, str(tmp_path))
+    assert {(r["path"].split(str(tmp_path) + "/")[1], r["length"]) for r in got.collect()} == set(
+        sizes.items()
+    )
+    assert "content" not in got._jdf.queryExecution().executedPlan().toString()
+    by_dir = {r["name"]: (r["bytes"], r["files"], r["gb"]) for r in
+              files.dir_sizes(got, str(tmp_path)).collect()}
+    assert by_dir == {"t1": (30, 2, 0), "t2": (5, 1, 0), "d": (1, 1, 0)}
+
+
+def test_scalars(spark):
+    df = spark.createDataFrame(
+        [(1704067200999, datetime(2024, 1, 1, 0, 0, 0, 999999), "https://u@h.org:8/a/b/c?x#y", "a, b,c")],
+        "ms long, ts timestamp_ntz, url string, names string",
+    )
+    got = df.select(
+        scalars.millis_to_time(F.col("ms")),
+        scalars.time_to_millis(F.col("ts")),
+        scalars.format_seconds(F.col("ts")),
+        scalars.url_host(F.col("url")),
+        scalars.url_segment(F.col("url"), -2),
+        scalars.url_segment(F.col("url"), -20),
+        scalars.url_host(F.lit("not a url %%")),
+        scalars.whole_gb(F.lit(5 * 1024**3 - 1)),
+        scalars.split_names(F.col("names")),
+        scalars.json_value(F.lit('{"k": {"j": 1}}'), "$.k.j"),
+    ).first()
+    assert list(got) == [
+        datetime(2024, 1, 1, 0, 0, 0, 999000), 1704067200999, "2024-01-01 00:00:00", "h.org", "b", None,
+        None, 4, ["a", "b", "c"], "1",
+    ]
