@@ -35,23 +35,26 @@ def log_lines(events: DataFrame, app: str) -> DataFrame:
         return F.struct(F.lit(log_type).alias("log_type"), text.alias("line"))
 
     value = F.col("value").cast("string")
-    lines = F.array(
-        line("stdout", job, " STARTED"),
-        line("stdout", "Starting task ", task, at),
-        F.when(kind == "purchase", line("stdout", job, " SUCCEEDED")),
-        F.when(kind == "purchase", line("stdout", "Task ", task, " succeeded", at)),
+    seconds = line("stdout", "Processing time for task ", task, " was ", value, " seconds")
+    thrown = line("stderr", "java.lang.IllegalStateException: event ", F.col("event_id"))
+    lines = F.concat(
+        F.array(line("stdout", job, " STARTED"), line("stdout", "Starting task ", task, at)),
         F.when(
             kind == "purchase",
-            line("stdout", "Processing time for task ", task, " was ", value, " seconds"),
-        ),
-        F.when(kind == "error", line("stderr", job, " FAILED")),
-        F.when(kind == "error", line("stderr", "Task ", task, " FAILED", at)),
-        F.when(
-            kind == "signup",
-            line("stderr", "java.lang.IllegalStateException: event ", F.col("event_id")),
-        ),
+            F.array(
+                line("stdout", job, " SUCCEEDED"),
+                line("stdout", "Task ", task, " succeeded", at),
+                seconds,
+            ),
+        )
+        .when(
+            kind == "error",
+            F.array(line("stderr", job, " FAILED"), line("stderr", "Task ", task, " FAILED", at)),
+        )
+        .when(kind == "signup", F.array(thrown))
+        .otherwise(F.array().cast("array<struct<log_type: string, line: string>>")),
     )
-    return events.select(F.expr(app).alias("app_id"), F.inline(F.array_compact(lines)))
+    return events.select(F.expr(app).alias("app_id"), F.inline(lines))
 
 
 def app_rows(events: DataFrame, app: str) -> DataFrame:

@@ -86,13 +86,7 @@ def union_all(spark, sf_dir):
 
 
 def row_counts(spark, sf_dir):
-    counted = None
-    for name in TABLES:
-        one = merge.row_count(table(spark, sf_dir, name)).select(
-            F.lit(name).alias("tablename"), "row_count"
-        )
-        counted = one if counted is None else counted.union(one)
-    return counted
+    return merge.row_counts({name: table(spark, sf_dir, name) for name in TABLES})
 
 
 def empty_guard(spark, sf_dir):

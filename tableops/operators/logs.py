@@ -21,8 +21,7 @@ TIME_LINE = (
     r"at time (\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}) GMT\.\.\.$"
 )
 SECONDS_LINE = r"^Processing time for task (.+) was ([0-9.eE+-]+) seconds$"
-# Each event line has one of these words: a cheap test before the patterns.
-EVENT_WORDS = (" STARTED", " SUCCEEDED", " FAILED", " at time ", "Processing time for task ")
+MARKERS = ("STARTED", "SUCCEEDED", "FAILED")
 
 
 def read_logs(spark: SparkSession, path: str, partitioned: bool = False) -> DataFrame:
@@ -160,33 +159,47 @@ def log_events(logs: DataFrame) -> DataFrame:
     """The marker, time and duration lines: ``app_id, log_type, job, task, event,
     event_time, seconds, minutes, hours``."""
     line = F.col("line")
+    # What a line can be by its ends alone, so that at most one pattern is tried.
+    kind = (
+        F.when(line.endswith(" GMT..."), "time")
+        .when(line.startswith("Processing time for task "), "duration")
+        .when(F.substring_index(line, " ", -1).isin(*MARKERS), "marker")
+    )
 
-    def part(pattern: str, group: int) -> Column:
-        return F.nullif(F.regexp_extract(line, pattern, group), F.lit(""))
+    def part(of: str, pattern: str, group: int) -> Column:
+        return F.when(F.col("kind") == of, F.regexp_extract(line, pattern, group))
 
-    event = F.coalesce(
-        part(MARKER_LINE, 2),
-        F.upper(part(TIME_LINE, 2)),
-        F.when(line.rlike(TIME_LINE), "STARTED"),
-        F.when(line.rlike(SECONDS_LINE), "TIMED"),
-    )
-    seconds = part(SECONDS_LINE, 2).try_cast("double")
-    return (
-        logs.where(reduce(lambda a, b: a | b, [line.contains(s) for s in EVENT_WORDS]))
+    matched = (
+        logs.withColumn("kind", kind)
+        .where(F.col("kind").isNotNull())
         .select(
             "app_id",
             "log_type",
-            part(MARKER_LINE, 1).alias("job"),
-            F.coalesce(part(TIME_LINE, 1), part(SECONDS_LINE, 1)).alias("task"),
-            event.alias("event"),
-            F.try_to_timestamp(part(TIME_LINE, 3), F.lit("yyyy-MM-dd HH:mm:ss"))
-            .cast("timestamp_ntz")
-            .alias("event_time"),
-            seconds.alias("seconds"),
-            (seconds / 60).alias("minutes"),
-            (seconds / 3600).alias("hours"),
+            "kind",
+            part("marker", MARKER_LINE, 1).alias("job"),
+            part("marker", MARKER_LINE, 2).alias("marker"),
+            F.coalesce(part("time", TIME_LINE, 1), part("duration", SECONDS_LINE, 1)).alias("task"),
+            part("time", TIME_LINE, 2).alias("end"),
+            part("time", TIME_LINE, 3).alias("moment"),
+            part("duration", SECONDS_LINE, 2).try_cast("double").alias("seconds"),
         )
-        .where("event IS NOT NULL")
+    )
+    event = (
+        F.when(F.col("kind") == "marker", F.col("marker"))
+        .when(F.col("kind") == "duration", "TIMED")
+        .when(F.col("end") == "", "STARTED")
+        .otherwise(F.upper("end"))
+    )
+    return matched.where("job <> '' OR task <> ''").select(
+        "app_id",
+        "log_type",
+        "job",
+        "task",
+        event.alias("event"),
+        F.col("moment").try_cast("timestamp_ntz").alias("event_time"),
+        "seconds",
+        (F.col("seconds") / 60).alias("minutes"),
+        (F.col("seconds") / 3600).alias("hours"),
     )
 
 
