@@ -54,13 +54,11 @@ def row_count(df: DataFrame) -> DataFrame:
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """``tablename, row_count`` of many tables, counted by one job."""
-    names = [df.select(F.lit(name).alias("tablename")) for name, df in tables.items()]
-    counted = reduce(DataFrame.union, names).groupBy("tablename").agg(
-        F.count(F.lit(1)).alias("row_count")
-    )
-    spark = names[0].sparkSession
-    listed = spark.createDataFrame([(name,) for name in tables], "tablename string")
-    return listed.join(counted, "tablename", "left").fillna(0, ["row_count"])
+    counts = [
+        row_count(df).select(F.lit(name).alias("tablename"), "row_count")
+        for name, df in tables.items()
+    ]
+    return reduce(DataFrame.union, counts)
 
 
 def _sortable(dtype: T.DataType) -> bool:

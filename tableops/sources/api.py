@@ -21,9 +21,9 @@ def fetch(
 ) -> DataFrame:
     """GET ``base_url`` + each endpoint of a one-column frame: ``url, status, body``.
 
-    Requests run in the tasks that hold the endpoints; ``partitions`` spreads
-    them over that many. A status other than 200 fails the job. ``file:`` URLs
-    are read as if they answered 200.
+    The endpoints are spread over ``partitions`` tasks, by default one per core,
+    which send the requests. A status other than 200 fails the job. ``file:`` and
+    ``data:`` URLs are read as if they answered 200.
     """
     column = endpoints.columns[0]
 
@@ -49,8 +49,8 @@ def fetch(
                     body = response.read().decode("utf-8")
                 yield pd.DataFrame({"url": [url], "status": [status], "body": [body]})
 
-    spread = endpoints.repartition(partitions) if partitions else endpoints
-    return spread.mapInPandas(get, _FETCHED)
+    tasks = partitions or endpoints.sparkSession.sparkContext.defaultParallelism
+    return endpoints.repartition(tasks).mapInPandas(get, _FETCHED)
 
 
 def records(bodies: DataFrame, element: str | T.StructType, body: str = "body") -> DataFrame:
