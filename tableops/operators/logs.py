@@ -159,11 +159,12 @@ def log_events(logs: DataFrame) -> DataFrame:
     """The marker, time and duration lines: ``app_id, log_type, job, task, event,
     event_time, seconds, minutes, hours``."""
     line = F.col("line")
+    last_word = F.substring_index(line, " ", -1)
     # What a line can be by its ends alone, so that at most one pattern is tried.
     kind = (
         F.when(line.endswith(" GMT..."), "time")
         .when(line.startswith("Processing time for task "), "duration")
-        .when(F.substring_index(line, " ", -1).isin(*MARKERS), "marker")
+        .when(last_word.isin(*MARKERS), "marker")
     )
 
     def part(of: str, pattern: str, group: int) -> Column:
@@ -177,10 +178,11 @@ def log_events(logs: DataFrame) -> DataFrame:
             "log_type",
             "kind",
             part("marker", MARKER_LINE, 1).alias("job"),
-            part("marker", MARKER_LINE, 2).alias("marker"),
+            last_word.alias("marker"),
             F.coalesce(part("time", TIME_LINE, 1), part("duration", SECONDS_LINE, 1)).alias("task"),
             part("time", TIME_LINE, 2).alias("end"),
-            part("time", TIME_LINE, 3).alias("moment"),
+            # The 19 characters before " GMT..." of a line of that pattern.
+            F.when(F.col("kind") == "time", F.substring(line, -26, 19)).alias("moment"),
             part("duration", SECONDS_LINE, 2).try_cast("double").alias("seconds"),
         )
     )
