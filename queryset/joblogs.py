@@ -6,7 +6,7 @@ one application; purchases succeeded, errors failed, sign-ups threw.
 
 from __future__ import annotations
 
-from datetime import datetime
+import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,8 +80,6 @@ def log_search(spark, sf_dir):
 
 
 def _job(user: int) -> str:
-    import hashlib
-
     return hashlib.md5(str(user).encode()).hexdigest()
 
 

@@ -160,19 +160,23 @@ def log_events(logs: DataFrame) -> DataFrame:
     event_time, seconds, minutes, hours``."""
     line = F.col("line")
     last_word = F.substring_index(line, " ", -1)
-    # What a line can be by its ends alone, so that at most one pattern is tried.
-    kind = (
-        F.when(line.endswith(" GMT..."), "time")
-        .when(line.startswith("Processing time for task "), "duration")
-        .when(last_word.isin(*MARKERS), "marker")
+    # What a line can be by its ends alone, so that one pattern is tried on it.
+    is_time = line.endswith(" GMT...")
+    is_duration = line.startswith("Processing time for task ")
+    is_marker = last_word.isin(*MARKERS)
+    kind = F.when(is_time, "time").when(is_duration, "duration").otherwise("marker")
+    known = (
+        F.when(is_time, line.rlike(TIME_LINE))
+        .when(is_duration, line.rlike(SECONDS_LINE))
+        .otherwise(is_marker & line.rlike(MARKER_LINE))
     )
 
     def part(of: str, pattern: str, group: int) -> Column:
         return F.when(F.col("kind") == of, F.regexp_extract(line, pattern, group))
 
     matched = (
-        logs.withColumn("kind", kind)
-        .where(F.col("kind").isNotNull())
+        logs.where(known)
+        .withColumn("kind", kind)
         .select(
             "app_id",
             "log_type",
@@ -192,7 +196,7 @@ def log_events(logs: DataFrame) -> DataFrame:
         .when(F.col("end") == "", "STARTED")
         .otherwise(F.upper("end"))
     )
-    return matched.where("job <> '' OR task <> ''").select(
+    return matched.select(
         "app_id",
         "log_type",
         "job",

@@ -102,7 +102,8 @@ def latest_rows(
       map-side over the narrow columns and semi-joins on key *and* time. A key
       with many rows spreads over its times, and a key with many rows at one
       time is a skewed join partition, which adaptive execution splits; a window
-      would take such a group through one task.
+      would take such a group through one task. ``df`` is read twice, so write a
+      source that may change in between to a table first.
     """
     if ties not in ("all", "one"):
         raise ValueError(f"ties must be 'all' or 'one', not {ties!r}")

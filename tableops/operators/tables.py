@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableops.session import delete_path, path_exists
-from tableops.sources.files import inventory
+from tableops.sources.files import inventory, path_below
 
 
 def quoted(name: str) -> str:
@@ -159,14 +159,12 @@ def files_fingerprint(spark: SparkSession, name: str) -> str:
     """A text that changes when files of the table come, go or change in size,
     but not when the table is renamed."""
     root = table_location(spark, name)
-    # Scheme and slashes differ between a table's location and its files' paths.
-    below = F.substring_index("path", root.split(":")[-1].rstrip("/") + "/", -1)
     count, size, names = (
         inventory(spark, root)
         .agg(
             F.count(F.lit(1)),
             F.coalesce(F.sum("length"), F.lit(0)),
-            F.coalesce(F.bit_xor(F.xxhash64(below, "length")), F.lit(0)),
+            F.coalesce(F.bit_xor(F.xxhash64(path_below(spark, root), "length")), F.lit(0)),
         )
         .first()
     )

@@ -39,6 +39,12 @@ def hadoop_path(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), jpath
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` as file listings spell it, with scheme and host."""
+    fs, jpath = hadoop_path(spark, path)
+    return fs.makeQualified(jpath).toString()
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     fs, jpath = hadoop_path(spark, path)
     return fs.exists(jpath)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableops.functions.scalars import whole_gb
+from tableops.session import qualified
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -97,9 +98,14 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def path_below(spark: SparkSession, root: str) -> Column:
+    """The path of a listed file, from ``root`` on."""
+    return F.substring_index("path", qualified(spark, root) + "/", -1)
+
+
 def dir_sizes(files: DataFrame, root: str) -> DataFrame:
     """Bytes, files and whole GB below each direct child of ``root``."""
-    below = F.substring_index(F.col("path"), root.rstrip("/") + "/", -1)
+    below = path_below(files.sparkSession, root)
     return (
         files.select(F.substring_index(below, "/", 1).alias("name"), "length")
         .groupBy("name")

@@ -126,9 +126,10 @@ def test_inventory(spark, tmp_path):
         sizes.items()
     )
     assert "content" not in got._jdf.queryExecution().executedPlan().toString()
-    by_dir = {r["name"]: (r["bytes"], r["files"], r["gb"]) for r in
-              files.dir_sizes(got, str(tmp_path)).collect()}
-    assert by_dir == {"t1": (30, 2, 0), "t2": (5, 1, 0), "d": (1, 1, 0)}
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        by_dir = {r["name"]: (r["bytes"], r["files"], r["gb"]) for r in
+                  files.dir_sizes(got, root).collect()}
+        assert by_dir == {"t1": (30, 2, 0), "t2": (5, 1, 0), "d": (1, 1, 0)}
 
 
 def test_scalars(spark):
