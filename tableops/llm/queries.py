@@ -7,10 +7,59 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableops.llm import archives, langid, rules
+from tableops.llm import archives, langid, rules, secrets
 from tableops.llm.base import fold, fresh_folder, table
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document; a source owns its documents, a language of it is a repository."""
+    found = secrets.scan(
+        table(spark, sf_dir, "documents"),
+        "doc_id",
+        owner=F.col("source"),
+        repository=F.concat_ws("/", "source", "lang"),
+    )
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"),
+        "spans", "n_bare", "n_live", "n_example",
+    )
+
+
+def _op1_sql() -> str:
+    parts = []
+    for n, k in enumerate(secrets.KINDS):
+        pattern = k.pattern.replace("'", "''")
+        value = f"regexp_extract(m, '{pattern}', {k.group})" if k.group else "m"
+        fits = "".join(f" AND regexp_matches(v, '{x}')" for x in k.also)
+        parts.append(f"""
+SELECT * FROM (
+  SELECT doc_id, source, repo, {n} AS kind, '{k.name}' AS name, {value} AS v, e - length(m) AS s, e FROM (
+    SELECT doc_id, source, repo, ms[i] AS m,
+           sum(length(gs[i]) + length(ms[i])) OVER (PARTITION BY doc_id ORDER BY i) AS e
+    FROM (SELECT doc_id, source, repo, regexp_extract_all(t, '{pattern}') AS ms,
+                 regexp_split_to_array(t, '{pattern}') AS gs FROM d) AS x,
+         unnest(range(1, len(ms) + 1)) AS u(i)) AS y) AS z
+WHERE length(v) >= {k.least}{fits}""")
+    return f"""
+WITH d AS (SELECT doc_id, source, concat_ws('/', source, lang) AS repo, coalesce(text, '') AS t FROM documents),
+c AS ({" UNION ALL ".join(parts)}),
+f AS (SELECT v, count(DISTINCT source) AS owners FROM c GROUP BY v),
+j AS (SELECT c.*, owners <= 2 AS live, c.name || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT) AS tag
+      FROM c JOIN f USING (v)
+      WHERE kind < 3 OR (owners <= 2 AND NOT EXISTS (
+            SELECT 1 FROM c AS b WHERE b.doc_id = c.doc_id AND b.kind < 3 AND b.s < c.e AND c.s < b.e))),
+g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
+             count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind = 3) AS n_bare,
+             count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example,
+             string_agg(tag, ',' ORDER BY s, kind) FILTER (kind < 3) AS base,
+             string_agg(tag, ',' ORDER BY s, kind) AS spans FROM j GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+       coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(n_bare, 0) AS n_bare, coalesce(n_live, 0) AS n_live,
+       coalesce(n_example, 0) AS n_example
+FROM documents LEFT JOIN g USING (doc_id)"""
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements, failure bits and the verdict of policy v1 on every document."""
     entries = rules.ledger(table(spark, sf_dir, "documents"), "doc_id")
@@ -71,11 +120,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op3_quality_rules": op3_quality_rules,
     "op8_arc_to_warc": op8_arc_to_warc,
     "op9_language_id": op9_language_id,
 }
 
 ORACLE: dict[str, str] = {
+    "op1_secrets": _op1_sql(),
     "op3_quality_rules": _op3_sql(),
 }
