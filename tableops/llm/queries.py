@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableops.llm import archives, langid, rules, secrets
+from tableops.llm import archives, decontam, langid, rules, secrets, simhash
 from tableops.llm.base import fold, fresh_folder, table
 
 
@@ -102,6 +102,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM b"""
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document: three-word shingles, three bits."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.lower(F.hex(F.reverse(F.col("fingerprint")))).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
 def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages to ARC files, those to WARC files, and what the WARC files hold."""
     arc, warc = fresh_folder(spark, "arc"), fresh_folder(spark, "warc")
@@ -119,11 +129,28 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, profiles, "doc_id", "held_out")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items each document holds at a resemblance of 0.8 or more."""
+    found = decontam.matches(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id"
+    )
+    ids = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
+    return found.select(
+        "doc_id",
+        (F.size("matches") > 0).alias("contaminated"),
+        F.size("matches").alias("n_items"),
+        F.array_join(ids.cast("array<string>"), ",").alias("item_ids"),
+        F.array_max(F.transform("matches", lambda m: m["similarity"])).alias("similarity"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op3_quality_rules": op3_quality_rules,
+    "op6_simhash": op6_simhash,
     "op8_arc_to_warc": op8_arc_to_warc,
     "op9_language_id": op9_language_id,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE: dict[str, str] = {
