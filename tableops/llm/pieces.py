@@ -199,7 +199,10 @@ def _edges(chunks: list[str], vocabulary: Vocabulary) -> tuple[np.ndarray, np.nd
     packed = np.ascontiguousarray(keys).view(np.uint8).reshape(len(dense), -1)
     spare = -packed.shape[1] % 8
     words = np.pad(packed, ((0, 0), (0, spare))).view(">u8").astype(np.uint64)
-    suffixes = np.lexsort(words.T[::-1])
+    suffixes = np.argsort(words[:, 0])
+    tied = words[suffixes[1:], 0] == words[suffixes[:-1], 0]
+    tied = np.flatnonzero(np.r_[False, tied] | np.r_[tied, False])
+    suffixes[tied] = suffixes[tied][np.lexsort(words[suffixes[tied]].T[::-1])]
     ordered = packed[suffixes].view(f"S{packed.shape[1]}").ravel()
 
     known = {chr(c): i + 1 for i, c in enumerate(alphabet.tolist()) if not 0xD800 <= c < 0xE000}
@@ -240,7 +243,7 @@ def encode_chunks(chunks: list[str], vocabulary: Vocabulary) -> list[np.ndarray]
     chunk = np.searchsorted(begins, start, side="right") - 1
     depth = end - begins[chunk]
     depth = np.where(sizes[chunk] <= _ABREAST, depth, 0)  # long chunks go one by one
-    order = np.lexsort((-length, end, depth))
+    order = np.argsort((depth << 56) | (end << 16) | (vocabulary.longest - length))
     start, length, piece, end, depth = (x[order] for x in (start, length, piece, end, depth))
 
     total = int(begins[-1] + sizes[-1] + 2) if len(chunks) else 1

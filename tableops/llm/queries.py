@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableops.llm import archives, decontam, langid, rules, secrets, simhash
-from tableops.llm.base import fold, fresh_folder, table
+from tableops.llm import archives, decontam, langid, pieces, quality, rules, secrets, simhash
+from tableops.llm.base import fold, fresh_folder, staged, table
+
+#: Where the tokenizer models are; ``spark.tableops.pieces`` names another model.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,6 +105,28 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM b"""
 
 
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded, and decoded again from its ids."""
+    model = pieces.Model.load(spark.conf.get("spark.tableops.pieces", PIECES))
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), model, "doc_id", "text")
+    decoded = pieces.decode(encoded.withColumnRenamed("text", "original"), model, "doc_id", "original", "ids")
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        (F.col("text") == F.coalesce("original", F.lit(""))).alias("round_trip"),
+    )
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees learned from the quality labels outside fold 0 of 5, applied to all documents."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 5) == 0)
+    known = staged(quality.statistics(docs, "doc_id", "held_out"), "quality-features")
+    forest = quality.train(known.where("NOT held_out"), table(spark, sf_dir, "labels"))
+    scored = quality.classify(known, forest, "doc_id", "held_out")
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: three-word shingles, three bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -147,6 +172,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op3_quality_rules": op3_quality_rules,
+    "op4_pieces": op4_pieces,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_simhash": op6_simhash,
     "op8_arc_to_warc": op8_arc_to_warc,
     "op9_language_id": op9_language_id,
