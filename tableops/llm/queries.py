@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableops.llm import archives, decontam, langid, pieces, quality, rules, secrets, simhash
+from tableops.llm import archives, decontam, langid, pieces, pii, quality, rules, secrets, simhash
 from tableops.llm.base import fold, fresh_folder, staged, table
 
 #: Where the tokenizer models are; ``spark.tableops.pieces`` names another model.
@@ -137,6 +137,16 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans, and disguised ones the tagger adds."""
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.train(docs), "doc_id")
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone",
+        F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_added",
+    )
+
+
 def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages to ARC files, those to WARC files, and what the WARC files hold."""
     arc, warc = fresh_folder(spark, "arc"), fresh_folder(spark, "warc")
@@ -175,6 +185,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pieces": op4_pieces,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_simhash": op6_simhash,
+    "op7_personal_data": op7_personal_data,
     "op8_arc_to_warc": op8_arc_to_warc,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
