@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableops.llm import archives, decontam, langid, pieces, pii, quality, rules, secrets, simhash
+from tableops.llm import (
+    archives,
+    decontam,
+    langid,
+    pieces,
+    pii,
+    quality,
+    repeats,
+    rules,
+    secrets,
+    simhash,
+)
 from tableops.llm.base import fold, fresh_folder, staged, table
 
 #: Where the tokenizer models are; ``spark.tableops.pieces`` names another model.
@@ -63,6 +74,11 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM documents LEFT JOIN g USING (doc_id)"""
 
 
+def op2_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document less its repeated strings of 200 bytes."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements, failure bits and the verdict of policy v1 on every document."""
     entries = rules.ledger(table(spark, sf_dir, "documents"), "doc_id")
@@ -181,6 +197,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
+    "op2_repeated_strings": op2_repeated_strings,
     "op3_quality_rules": op3_quality_rules,
     "op4_pieces": op4_pieces,
     "op5_quality_classifier": op5_quality_classifier,
