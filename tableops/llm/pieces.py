@@ -23,11 +23,13 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tableops.llm.base import slices, spread, texts
 
 SPACE = "▁"
+#: The model file on the driver, unless ``spark.tableops.pieces`` names another.
+MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Chunks a worker remembers.
 _KNOWN = 200_000
@@ -66,6 +68,10 @@ class Model:
         return Model(*(tuple(x) for x in ([p.piece for p in found], [p.type for p in found], [p.score for p in found])))
 
 
+def configured(spark: SparkSession) -> Model:
+    return Model.load(spark.conf.get("spark.tableops.pieces", MODEL_FILE))
+
+
 class Vocabulary:
     """A model's tables for matching, border checks and decoding."""
 

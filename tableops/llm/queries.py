@@ -21,9 +21,6 @@ from tableops.llm import (
 )
 from tableops.llm.base import fold, fresh_folder, staged, table
 
-#: Where the tokenizer models are; ``spark.tableops.pieces`` names another model.
-PIECES = "/opt/tokenizers/piece_bpe_32k.model"
-
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document; a source owns its documents, a language of it is a repository."""
@@ -123,7 +120,7 @@ FROM b"""
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, and decoded again from its ids."""
-    model = pieces.Model.load(spark.conf.get("spark.tableops.pieces", PIECES))
+    model = pieces.configured(spark)
     encoded = pieces.encode(table(spark, sf_dir, "documents"), model, "doc_id", "text")
     decoded = pieces.decode(encoded.withColumnRenamed("text", "original"), model, "doc_id", "original", "ids")
     return decoded.select(
