@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,30 @@ def event_time(df: DataFrame, name: str) -> Column:
     return F.col(name).try_cast("timestamp")
 
 
+def time_bound(dtype: T.DataType, value) -> Column:
+    """``value`` (of ``high_watermark``) as a literal to compare a time of this type with.
+
+    A time without zone stays without: as a plain literal it would be taken through
+    the session's zone. A zoned one comes back from Spark in the zone of this process.
+    """
+    if isinstance(dtype, T.TimestampNTZType) and isinstance(value, datetime):
+        return F.lit(value.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz")
+    if isinstance(dtype, (T.DateType, T.TimestampNTZType)):
+        return F.lit(value).cast(dtype)
+    return F.lit(value.astimezone() if isinstance(value, datetime) else value).cast("timestamp")
+
+
+def between_times(df: DataFrame, name: str, low=None, high=None) -> Column:
+    """Whether the time ``name`` is in these bounds, both included; pushed to a source."""
+    dtype, time, inside = df.schema[name].dataType, event_time(df, name), F.lit(True)
+    if low is not None:
+        inside = time >= time_bound(dtype, low)
+    if high is not None:
+        upto = time <= time_bound(dtype, high)
+        inside = upto if low is None else inside & upto
+    return inside
+
+
 def format_seconds(ts: Column) -> Column:
     """A time as text in whole seconds; fractions are cut off.
 
@@ -45,14 +71,19 @@ def whole_gb(size: Column) -> Column:
     return F.floor(size / (1024**3)).cast("long")
 
 
+_AROUND_NAMES = " \t\r\n"
+_IN_NAMES, _BECOMES = " /", "__"
+
+
 def normalize_name(name: Column) -> Column:
     """Trimmed, lower case, blanks and slashes as underscores."""
-    return F.translate(F.lower(F.btrim(name, F.lit(" \t\r\n"))), " /", "__")
+    return F.translate(F.lower(F.btrim(name, F.lit(_AROUND_NAMES))), _IN_NAMES, _BECOMES)
 
 
 def normalized_names(names: list[str]) -> list[str]:
     """``normalize_name`` for a header; every name must be usable and unique."""
-    out = [n.strip().lower().replace(" ", "_").replace("/", "_") for n in names]
+    table = str.maketrans(_IN_NAMES, _BECOMES)
+    out = [n.strip(_AROUND_NAMES).lower().translate(table) for n in names]
     if "" in out:
         raise ValueError("a header cell is empty")
     if len(set(out)) < len(out):

@@ -33,7 +33,11 @@ def drop_table(
         delete_path(spark, leftover_dir(spark, name))
 
 
-def _writer(df: DataFrame, keys: list[str] | None, buckets: int | None):
+def _writer(
+    df: DataFrame, keys: list[str] | None, buckets: int | None, partition_by: str | None
+):
+    if partition_by:
+        return df.hint("rebalance", partition_by).write.format("parquet").partitionBy(partition_by)
     writer = df.write.format("parquet")
     if buckets:
         writer = writer.bucketBy(buckets, *keys).sortBy(*keys)
@@ -41,10 +45,14 @@ def _writer(df: DataFrame, keys: list[str] | None, buckets: int | None):
 
 
 def create_table(
-    df: DataFrame, name: str, keys: list[str] | None = None, buckets: int | None = None
+    df: DataFrame,
+    name: str,
+    keys: list[str] | None = None,
+    buckets: int | None = None,
+    partition_by: str | None = None,
 ) -> DataFrame:
     """Create ``name`` from ``df``; a table that is already there is an error."""
-    _writer(df, keys, buckets).mode("errorifexists").saveAsTable(name)
+    _writer(df, keys, buckets, partition_by).mode("errorifexists").saveAsTable(name)
     return df.sparkSession.table(name)
 
 
@@ -54,6 +62,7 @@ def overwrite_table(
     keys: list[str] | None = None,
     buckets: int | None = None,
     staging: str | None = None,
+    partition_by: str | None = None,
 ) -> DataFrame:
     """Replace ``name`` by ``df``, which may read from ``name`` itself.
 
@@ -63,7 +72,7 @@ def overwrite_table(
     spark = df.sparkSession
     staging = staging or f"{name}_staged"
     drop_table(spark, staging)
-    create_table(df, staging, keys, buckets)
+    create_table(df, staging, keys, buckets, partition_by)
     return swap_table(spark, staging, name)
 
 
@@ -99,7 +108,10 @@ def recover_table(spark: SparkSession, name: str) -> bool:
 
 
 def rename_table(spark: SparkSession, name: str, new_name: str) -> None:
+    """Rename a table; catalogs that keep the old folders of its partitions learn the new ones."""
     spark.sql(f"ALTER TABLE {quoted(name)} RENAME TO {quoted(new_name)}")
+    if any(c.isPartition for c in spark.catalog.listColumns(quoted(new_name))):
+        spark.sql(f"MSCK REPAIR TABLE {quoted(new_name)} SYNC PARTITIONS")
     spark.catalog.refreshTable(new_name)
 
 
@@ -130,23 +142,37 @@ def create_partitioned(df: DataFrame, name: str, by: str) -> DataFrame:
     ``rebalance`` gathers each value into few files, and splits a value that
     holds much of the data over several tasks.
     """
-    df.hint("rebalance", by).write.format("parquet").partitionBy(by).mode(
-        "errorifexists"
-    ).saveAsTable(name)
-    return df.sparkSession.table(name)
+    return create_table(df, name, partition_by=by)
 
 
 def overwrite_partitions(df: DataFrame, name: str, by: str) -> DataFrame:
-    """Replace just those partitions of ``name`` that ``df`` has rows for."""
+    """Replace just those partitions of ``name`` that ``df`` has rows for.
+
+    That is an option of this write to the table's folder, after which new partitions
+    are registered; the session's own mode is not touched.
+    """
     spark = df.sparkSession
     rows = df.select(*spark.table(name).columns).hint("rebalance", by)
-    mode = "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(mode)
-    spark.conf.set(mode, "dynamic")
-    try:
-        rows.write.mode("overwrite").insertInto(name)
-    finally:
-        spark.conf.set(mode, before)
+    (
+        rows.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(by)
+        .parquet(table_location(spark, name))
+    )
+    spark.catalog.recoverPartitions(name)
+    spark.catalog.refreshTable(name)
+    return spark.table(name)
+
+
+def replace_partitions(df: DataFrame, name: str, by: str) -> DataFrame:
+    """``overwrite_partitions`` with rows that may be read from ``name`` itself.
+
+    They are written to a staging table first, partitioned alike.
+    """
+    spark, staging = df.sparkSession, f"{name}_staged"
+    drop_table(spark, staging)
+    overwrite_partitions(create_table(df, staging), name, by)
+    drop_table(spark, staging)
     return spark.table(name)
 
 

@@ -64,7 +64,7 @@ def refresh_models(
                 overwrite_table(spark.sql(model.select, **upstream), f"{db}.{name}")
                 status[name] = "built"
             except Exception as e:
-                status[name], error = "failed", str(e).splitlines()[0]
+                status[name], error = "failed", str(e)
         report.append((name, status[name], error))
     if any(status[m.name] != "built" and not m.optional for m in models):
         raise ModelError(report)

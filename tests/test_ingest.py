@@ -153,3 +153,26 @@ def test_scalars(spark):
         datetime(2024, 1, 1, 0, 0, 0, 999000), 1704067200999, "2024-01-01 00:00:00", "h.org", "b", None,
         None, 4, ["a", "b", "c"], "1",
     ]
+
+
+def sheet(folder, **grids):
+    folder.mkdir()
+    for name, text in grids.items():
+        (folder / f"{name}.csv").write_text(text)
+    return str(folder)
+
+
+@pytest.mark.parametrize("multiline", [True, False])
+def test_ragged_and_reordered_sheets(spark, tmp_path, multiline):
+    def read(path):
+        return sorted(tuple(r) for r in sheets.read_sheet(spark, path, multiline=multiline).collect())
+
+    short = sheet(tmp_path / "short", a="A,B\n1,2\n3\n,\n4,5,\n")
+    assert read(short) == [("", ""), ("1", "2"), ("3", ""), ("4", "5")]
+    for i, row in enumerate(("3,4,5", "3,4,,6", "3,4,5,6,7")):
+        with pytest.raises(Exception, match="wider than the header"):
+            read(sheet(tmp_path / f"wide{i}", a=f"A,B\n1,2\n{row}\n"))
+    mixed = sheet(tmp_path / "mixed", a="A,B c\n1,2\n", b="b C,a\n20,10\nb_c,a\n")
+    assert read(mixed) == [("1", "2"), ("10", "20")]
+    with pytest.raises(ValueError, match="headers differ"):
+        read(sheet(tmp_path / "other", a="A,B\n1,2\n", b="A,C\n1,2\n"))

@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from tableops.operators.merge import latest_rows
@@ -74,3 +75,30 @@ def test_stream_equals_batch_merge(spark, tmp_path):
     data.repartition(5).write.parquet(f"{tmp_path}/in")
     got = run(spark, tmp_path, compact_every=2).select("k", "ts")
     assert values(got) == values(latest_rows(data, ["k"], "ts", "one").select("k", "ts"))
+
+
+@pytest.mark.parametrize("compacted", [False, True])
+def test_a_new_checkpoint_adds_to_the_target(spark, tmp_path, compacted):
+    for rows in BATCHES[:2]:
+        put(spark, tmp_path, rows)
+    before = values(run(spark, tmp_path))
+    if compacted:
+        upsert.compact(spark, f"{tmp_path}/target", ["k"], "ts")
+    (tmp_path / "checkpoint").rename(tmp_path / "old-checkpoint")
+    (tmp_path / "in").rename(tmp_path / "old-in")
+    for rows in BATCHES[2:]:
+        put(spark, tmp_path, rows)
+    assert before != WANT
+    assert values(run(spark, tmp_path)) == WANT
+
+
+def test_small_batches_leave_the_base_where_it_is(spark, tmp_path):
+    put(spark, tmp_path, [(i, T[0], "x" * 50) for i in range(5000)])
+    run(spark, tmp_path, compact_every=1)
+    upsert.compact(spark, f"{tmp_path}/target", ["k"], "ts")
+    put(spark, tmp_path, [(1, T[1], "new"), (6000, T[1], "new")])
+    out = run(spark, tmp_path)
+    assert out.count() == 5001
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    above_base = [line for line in plan.splitlines() if "SortMergeJoin" in line]
+    assert not above_base
