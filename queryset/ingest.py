@@ -102,12 +102,40 @@ def json_file_scan(spark, sf_dir):
     return files.read_json(spark, path, events.schema)
 
 
+def _folders(spark, sf_dir, query):
+    """The kinds of events, a line each, in a folder and one file per kind."""
+    path = f"{fresh_path(spark, query)}/kinds"
+    events = table(spark, sf_dir, "events")
+    line = F.concat_ws(" ", F.col("event_id").cast("string"), F.col("user_id").cast("string"))
+    kinds = events.select("event_type", line.alias("line")).repartition("event_type")
+    kinds.write.partitionBy("event_type").text(path)
+    return path
+
+
 def file_inventory(spark, sf_dir):
-    return files.inventory(spark, sf_dir)
+    """Files by folder and size; times of files are those of the run."""
+    path = _folders(spark, sf_dir, "file_inventory")
+    found = files.inventory(spark, path)
+    return found.select(
+        F.regexp_extract("path", "/event_type=([^/]+)/[^/]+$", 1).alias("kind"),
+        F.col("length").alias("bytes"),
+    )
 
 
 def dir_sizes(spark, sf_dir):
-    return files.dir_sizes(files.inventory(spark, sf_dir), sf_dir)
+    path = _folders(spark, sf_dir, "dir_sizes")
+    return files.dir_sizes(files.inventory(spark, path), path)
+
+
+def whole_text(spark, sf_dir):
+    """Whole files, one row each: how many lines and characters."""
+    path = _folders(spark, sf_dir, "whole_text")
+    whole = files.read_whole(spark, path)
+    return whole.select(
+        F.regexp_extract("path", "/event_type=([^/]+)/[^/]+$", 1).alias("kind"),
+        F.regexp_count("value", F.lit("\n")).cast("long").alias("lines"),
+        F.length("value").cast("long").alias("chars"),
+    )
 
 
 QUERIES = {
@@ -122,11 +150,15 @@ QUERIES = {
     "json_file_scan": json_file_scan,
     "file_inventory": file_inventory,
     "dir_sizes": dir_sizes,
+    "whole_text": whole_text,
 }
 
 _SHEET = """SELECT CAST(c_custkey AS VARCHAR) AS cust_key_id, c_name AS name,
   c_mktsegment AS market_segment FROM customer"""
 
+_KINDS = """SELECT event_type AS kind, count(*) AS lines,
+  CAST(sum(strlen(event_id || ' ' || user_id) + 1) AS BIGINT) AS bytes FROM events GROUP BY event_type"""
+
 ORACLE = {
     "sheet_to_table": _SHEET,
     "sheet_to_csv": _SHEET,
@@ -139,4 +171,8 @@ FROM part""",
     "text_scan": "SELECT unnest(string_split(text, chr(10))) AS line FROM documents",
     "delimited_records": "SELECT text FROM documents",
     "json_file_scan": "SELECT * FROM events",
+    "file_inventory": f"SELECT kind, bytes FROM ({_KINDS})",
+    "dir_sizes": f"""SELECT 'event_type=' || kind AS name, bytes, 1 AS files,
+  CAST(floor(bytes / 1073741824) AS BIGINT) AS gb FROM ({_KINDS})""",
+    "whole_text": f"SELECT kind, lines, bytes AS chars FROM ({_KINDS})",
 }

@@ -66,17 +66,22 @@ def app_rows(events: DataFrame, app: str) -> DataFrame:
 
 
 def log_search(spark, sf_dir):
-    """The logs of the last day on which user 7 had a failure, from log files."""
+    """The error log of the last day on which user 7 had a failure, from log files."""
     events = table(spark, sf_dir, "events")
     path = f"{fresh_path(spark, 'log_search')}/logs"
-    (
-        log_lines(events, _DAY_APP)
-        .hint("rebalance", "app_id", "log_type")
-        .write.partitionBy("app_id", "log_type")
-        .text(path)
-    )
+    log_lines(events, _DAY_APP).write.partitionBy("app_id", "log_type").text(path)
     logs = joblogs.read_logs(spark, path, partitioned=True)
-    return joblogs.log_search(logs, app_rows(events, _DAY_APP), _job(7) + " FAILED")
+    apps = app_rows(events, _DAY_APP).withColumn(
+        "user", F.when(F.col("app_id").endswith("0"), "other").otherwise("me")
+    )
+    return joblogs.log_search(logs, apps, _job(7) + " FAILED", ("stderr",), "me")
+
+
+def failed_log(spark, sf_dir):
+    """The log that tells how the job of user 7 failed."""
+    events = table(spark, sf_dir, "events").where("event_type != 'purchase'")
+    logs, apps = log_lines(events, _USER_DAY_APP), app_rows(events, _USER_DAY_APP)
+    return joblogs.failed_log(logs, apps, _job(7)).select("app_id", "log_type", "line")
 
 
 def _job(user: int) -> str:
@@ -98,9 +103,22 @@ def job_status(spark, sf_dir):
 
 
 def log_events(spark, sf_dir):
-    found = joblogs.log_events(log_lines(table(spark, sf_dir, "events"), _USER_DAY_APP))
+    """Events of the logs, among them what every view's task depends on and what is missing."""
+    events = table(spark, sf_dir, "events")
+    task = F.concat(F.lit("Task event_"), "event_id")
+    needs = events.where("event_type = 'view'").select(
+        F.expr(_USER_DAY_APP).alias("app_id"),
+        F.lit("stdout").alias("log_type"),
+        F.explode(
+            F.array(
+                F.concat(task, F.lit(" depends on Task user_"), "user_id"),
+                F.concat(F.lit("Task user_"), "user_id", F.lit(" missing as dependency")),
+            )
+        ).alias("line"),
+    )
+    found = joblogs.log_events(log_lines(events, _USER_DAY_APP).union(needs))
     return found.select("app_id", "log_type", "job", "task", "event", "event_time", "seconds",
-                        "minutes", "hours")
+                        "minutes", "hours", "depends_on")
 
 
 def app_summary(spark, sf_dir):
@@ -152,22 +170,23 @@ def long_running(spark, sf_dir):
 
 
 def stream_merge_latest(spark, sf_dir):
-    """Events that arrive in two lots, each taken in when it is there: the last
-    row per user."""
+    """Events that arrive in two lots, each taken in when it is there, the second by a
+    stream that begins anew: the last row per user."""
     events = table(spark, sf_dir, "events")
     place = fresh_path(spark, "stream_merge_latest")
     early = F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")
-    for lot in (events.where(early), events.where(~early)):
-        lot.write.mode("append").parquet(f"{place}/changes")
-        changes = spark.readStream.schema(events.schema).parquet(f"{place}/changes")
+    for i, lot in enumerate((events.where(early), events.where(~early))):
+        lot.write.parquet(f"{place}/changes{i}")
+        changes = spark.readStream.schema(events.schema).parquet(f"{place}/changes{i}")
         upsert.stream_merge_latest(
-            changes, f"{place}/target", ["user_id"], "ts", f"{place}/checkpoint"
+            changes, f"{place}/target", ["user_id"], "ts", f"{place}/checkpoint{i}"
         ).awaitTermination()
     return upsert.read_target(spark, f"{place}/target", ["user_id"], "ts")
 
 
 QUERIES = {
     "log_search": log_search,
+    "failed_log": failed_log,
     "log_status": log_status,
     "job_status": job_status,
     "log_events": log_events,
@@ -255,9 +274,19 @@ _SQL_LOG_EVENTS = f"""WITH e AS ({_SQL_EVENTS}), l AS (
 ORACLE = {
     "log_search": f"""WITH logs AS ({_sql_lines(_SQL_DAY)}), apps AS ({_sql_apps(_SQL_DAY)}),
 newest AS (SELECT app_id FROM apps WHERE app_id IN
-    (SELECT app_id FROM logs WHERE contains(line, md5('7') || ' FAILED'))
-  ORDER BY finished_time DESC, app_id DESC LIMIT 1)
-SELECT app_id, log_type, line FROM logs WHERE app_id IN (SELECT app_id FROM newest)""",
+    (SELECT app_id FROM logs WHERE contains(line, md5('7') || ' FAILED') AND log_type = 'stderr')
+  AND NOT app_id LIKE '%0' ORDER BY finished_time DESC, app_id DESC LIMIT 1)
+SELECT app_id, log_type, line FROM logs
+WHERE app_id IN (SELECT app_id FROM newest) AND log_type = 'stderr'""",
+    "failed_log": f"""WITH e AS (SELECT * FROM events WHERE event_type != 'purchase'),
+logs AS ({_sql_lines(_SQL_USER_DAY).replace("FROM events", "FROM e")}),
+apps AS ({_sql_apps(_SQL_USER_DAY).replace("FROM events", "FROM e")}), f AS ({_sql_flags("md5('7')", "logs")}),
+s AS (SELECT f.*, finished_time, {_SQL_VERDICT} AS status,
+    CASE WHEN failed_stderr OR succeeded_stderr OR exception_stderr OR present_stderr
+      THEN 'stderr' ELSE 'stdout' END AS log_type
+  FROM f JOIN apps ON apps.app_id = f.app_id WHERE present_stderr OR present_stdout),
+t AS (SELECT * FROM s WHERE status IS NOT NULL ORDER BY finished_time DESC, app_id DESC LIMIT 1)
+SELECT logs.* FROM logs JOIN t USING (app_id, log_type) WHERE t.status = 'FAILURE'""",
     "log_status": f"""WITH logs AS ({_sql_lines(_SQL_USER_DAY)}),
 apps AS ({_sql_apps(_SQL_USER_DAY)}), f AS ({_sql_flags("md5('7')", "logs")}),
 s AS (SELECT f.app_id, finished_time, {_SQL_VERDICT} AS status,
@@ -275,7 +304,11 @@ f AS ({_sql_flags("job", "named")})
 SELECT f.app_id, job, {_SQL_VERDICT} AS status
 FROM f JOIN apps ON apps.app_id = f.app_id JOIN jobs ON jobs.app_id = f.app_id""",
     "log_events": f"""{_SQL_LOG_EVENTS}
-SELECT *, seconds / 60 AS minutes, seconds / 3600 AS hours FROM l""",
+SELECT *, seconds / 60 AS minutes, seconds / 3600 AS hours, NULL AS depends_on FROM l
+UNION ALL SELECT {_SQL_USER_DAY}, 'stdout', NULL, 'event_' || event_id, 'DEPENDS_ON', NULL, NULL,
+  NULL, NULL, 'user_' || user_id FROM events WHERE event_type = 'view'
+UNION ALL SELECT {_SQL_USER_DAY}, 'stdout', NULL, 'user_' || user_id, 'MISSING', NULL, NULL,
+  NULL, NULL, NULL FROM events WHERE event_type = 'view'""",
     "app_summary": f"""{_SQL_LOG_EVENTS}
 SELECT app_id, max(job) AS job, count(*) FILTER (job IS NOT NULL AND event = 'STARTED') AS started,
   count(*) FILTER (job IS NOT NULL AND event = 'SUCCEEDED') AS succeeded,

@@ -35,7 +35,12 @@ def merge_latest(spark, sf_dir):
 
 
 def merge_latest_join(spark, sf_dir):
-    return merge.merge_latest(*events_sides(spark, sf_dir), ["event_id"], "ts", form="join")
+    """Users' latest events; those of early days have no time and count where there is no other."""
+    sides = [
+        side.withColumn("ts", F.when(F.col("ts") >= _at("2024-01-18"), F.col("ts")))
+        for side in events_sides(spark, sf_dir)
+    ]
+    return merge.merge_latest(*sides, ["user_id"], "ts", form="join", keep_null_ts=True)
 
 
 def merge_latest_window(spark, sf_dir):
@@ -126,13 +131,20 @@ _SIDES = """
             FROM events WHERE ts >= TIMESTAMP '2024-01-15'),
   u AS (SELECT * FROM base UNION ALL SELECT * FROM delta)"""
 
+_COLUMNS = "event_id, ts, user_id, event_type, value, props"
+
 _MERGED = f"""WITH {_SIDES},
-  s AS (SELECT event_id, max(ts) AS ts FROM u GROUP BY event_id)
-SELECT u.* FROM u JOIN s ON s.event_id = u.event_id AND s.ts = u.ts"""
+  r AS (SELECT *, rank() OVER (PARTITION BY event_id ORDER BY ts DESC) AS place FROM u)
+SELECT {_COLUMNS} FROM r WHERE place = 1"""
 
 _MERGED_USER = f"""WITH {_SIDES},
-  s AS (SELECT user_id, max(ts) AS ts FROM u GROUP BY user_id)
-SELECT u.* FROM u JOIN s ON s.user_id = u.user_id AND s.ts = u.ts"""
+  r AS (SELECT *, rank() OVER (PARTITION BY user_id ORDER BY ts DESC) AS place FROM u)
+SELECT {_COLUMNS} FROM r WHERE place = 1"""
+
+_MERGED_NULLS = f"""WITH {_SIDES},
+  v AS (SELECT * REPLACE (CASE WHEN ts >= TIMESTAMP '2024-01-18' THEN ts END AS ts) FROM u),
+  r AS (SELECT *, rank() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST) AS place FROM v)
+SELECT {_COLUMNS} FROM r WHERE place = 1"""
 
 QUERIES = {
     "merge_latest": merge_latest,
@@ -154,7 +166,7 @@ QUERIES = {
 
 ORACLE = {
     "merge_latest": _MERGED,
-    "merge_latest_join": _MERGED,
+    "merge_latest_join": _MERGED_NULLS,
     "merge_latest_window": _MERGED,
     "merge_latest_user": _MERGED_USER,
     "merge_latest_one": f"""WITH {_SIDES.replace("base AS (SELECT *", "base AS (SELECT *, 0 AS side")

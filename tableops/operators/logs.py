@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The line formats of job logs, the types that are looked at in
@@ -21,6 +21,8 @@ TIME_LINE = (
     r"at time (\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}) GMT\.\.\.$"
 )
 SECONDS_LINE = r"^Processing time for task (.+) was ([0-9.eE+-]+) seconds$"
+DEPENDS_LINE = r"^Task (.+) depends on Task (.+)$"
+MISSING_LINE = r"^Task (.+) missing as dependency$"
 MARKERS = ("STARTED", "SUCCEEDED", "FAILED")
 
 
@@ -48,13 +50,28 @@ def read_logs(spark: SparkSession, path: str, partitioned: bool = False) -> Data
     )
 
 
-def log_search(logs: DataFrame, apps: DataFrame, text: str) -> DataFrame:
-    """All log lines of the newest application with ``text`` in a line."""
+def log_search(
+    logs: DataFrame,
+    apps: DataFrame,
+    text: str,
+    log_types: tuple[str, ...] = LOG_TYPES,
+    user: str | None = None,
+) -> DataFrame:
+    """The log lines, of these types, of the newest application with ``text`` in one of them.
+
+    ``user`` looks only at that user's applications (column ``user`` of ``apps``); their
+    logs alone are then read, if the logs are laid out by application.
+    """
     if "\n" in text:
         raise ValueError("the text to search for has to fit in one line")
-    matching = logs.where(F.col("line").contains(text)).select("app_id").distinct()
+    logs = logs.where(F.col("log_type").isin(*log_types))
+    if user is not None:
+        apps = apps.where(F.col("user") == user)
+    matching = logs.where(F.col("line").contains(text))
+    if user is not None:
+        matching = matching.join(apps.select("app_id"), "app_id", "left_semi")
     newest = (
-        apps.join(matching, "app_id", "left_semi")
+        apps.join(matching.select("app_id").distinct(), "app_id", "left_semi")
         .orderBy(F.col("finished_time").desc_nulls_last(), F.col("app_id").desc())
         .limit(1)
         .select("app_id")
@@ -74,16 +91,17 @@ def _flags(log_types: tuple[str, ...] = LOG_TYPES, **tests: Column) -> list[Colu
 
 def _verdict() -> Column:
     """The job's status from the flags: that of the first log with one, or null."""
+    return F.coalesce(*[_of(t) for t in LOG_TYPES])
 
-    def of(log_type: str) -> Column:
-        return (
-            F.when(F.col(f"failed_{log_type}"), "FAILURE")
-            .when(F.col(f"succeeded_{log_type}"), "SUCCESS")
-            .when(F.col(f"exception_{log_type}"), "FAILURE")
-            .when(F.col(f"present_{log_type}"), F.col("final_status"))
-        )
 
-    return F.coalesce(*[of(t) for t in LOG_TYPES])
+def _of(log_type: str) -> Column:
+    """What the flags of one log say."""
+    return (
+        F.when(F.col(f"failed_{log_type}"), "FAILURE")
+        .when(F.col(f"succeeded_{log_type}"), "SUCCESS")
+        .when(F.col(f"exception_{log_type}"), "FAILURE")
+        .when(F.col(f"present_{log_type}"), F.col("final_status"))
+    )
 
 
 def log_status(
@@ -97,6 +115,20 @@ def log_status(
     applications with the id in a log are looked at. ``strict_reference`` drops
     that rule, so an ``Exception`` of any newer application is a failure too.
     """
+    return _told(logs, apps, job, strict_reference).select("app_id", "status")
+
+
+def failed_log(
+    logs: DataFrame, apps: DataFrame, job: str, strict_reference: bool = False
+) -> DataFrame:
+    """The lines of the log that tells of the failure ``log_status`` reports; none otherwise."""
+    told = _told(logs, apps, job, strict_reference).where(F.col("status") == "FAILURE")
+    # One row at most, like the status.
+    return logs.join(F.broadcast(told.select("app_id", "log_type")), ["app_id", "log_type"])
+
+
+def _told(logs: DataFrame, apps: DataFrame, job: str, strict_reference: bool) -> DataFrame:
+    """One row: the application, its verdict and the log type that tells it."""
     line = F.col("line")
     told = (
         logs.where(F.col("log_type").isin(*LOG_TYPES))
@@ -119,7 +151,7 @@ def log_status(
         .where(F.col("status").isNotNull())
         .orderBy(F.col("finished_time").desc_nulls_last(), F.col("app_id").desc())
         .limit(1)
-        .select("app_id", "status")
+        .withColumn("log_type", F.coalesce(*[F.when(_of(t).isNotNull(), t) for t in LOG_TYPES]))
     )
 
 
@@ -127,47 +159,67 @@ def job_status(logs: DataFrame, apps: DataFrame, id_pattern: str = JOB_ID) -> Da
     """``log_status`` of every job named in the logs: ``app_id, job, status``,
     one row per application and job.
 
-    ``id_pattern`` finds the ids in a line (its group 1). Flags are aggregated
-    map-side, so a chatty application sends few rows to the shuffle.
+    ``id_pattern`` finds the ids in a line (its group 1). The logs are read once: a line
+    with an exception counts for each id in it and for the application as a whole (job
+    null). Flags are aggregated map-side, so a chatty application sends few rows to
+    the shuffle, and its few jobs then take over what holds for the application.
     """
-    known = logs.where(F.col("log_type").isin(*LOG_TYPES))
+    line = F.col("line")
     ids = F.array_distinct(F.regexp_extract_all("line", F.lit(id_pattern), F.lit(1)))
-    jobs = (
-        known.select("app_id", "log_type", F.explode(ids).alias("job"), "line")
+    whole = F.when(line.contains("Exception"), F.array(F.lit(None).cast("string"))).otherwise(
+        F.array().cast("array<string>")
+    )
+    named = F.col("job").isNotNull()
+    told = (
+        logs.where(F.col("log_type").isin(*LOG_TYPES))
+        .select("app_id", "log_type", F.explode(F.concat(ids, whole)).alias("job"), "line")
         .groupBy("app_id", "job")
         .agg(
             *_flags(
                 failed=F.contains("line", F.concat("job", F.lit(" FAILED"))),
                 succeeded=F.contains("line", F.concat("job", F.lit(" SUCCEEDED"))),
-                present=F.lit(True),
+                exception=~named,
+                present=named,
             )
         )
     )
-    troubled = (
-        known.where(F.col("line").contains("Exception"))
-        .groupBy("app_id")
-        .agg(*_flags(exception=F.lit(True)))
-    )
+    of_app = Window.partitionBy("app_id")
+    for t in LOG_TYPES:
+        told = told.withColumn(f"exception_{t}", F.max(f"exception_{t}").over(of_app))
     return (
-        jobs.join(troubled, "app_id", "left")
+        told.where(named)
         .join(apps.select("app_id", "final_status"), "app_id")
         .select("app_id", "job", _verdict().alias("status"))
     )
 
 
 def log_events(logs: DataFrame) -> DataFrame:
-    """The marker, time and duration lines: ``app_id, log_type, job, task, event,
-    event_time, seconds, minutes, hours``."""
+    """The marker, time, duration and dependency lines: ``app_id, log_type, job, task,
+    event, event_time, seconds, minutes, hours, depends_on``.
+
+    ``DEPENDS_ON`` names the other task in ``depends_on``; ``MISSING`` is a task that
+    others depend on and that is not there.
+    """
     line = F.col("line")
     last_word = F.substring_index(line, " ", -1)
     # What a line can be by its ends alone, so that one pattern is tried on it.
     is_time = line.endswith(" GMT...")
     is_duration = line.startswith("Processing time for task ")
     is_marker = last_word.isin(*MARKERS)
-    kind = F.when(is_time, "time").when(is_duration, "duration").otherwise("marker")
+    is_missing = line.endswith(" missing as dependency")
+    is_depends = line.startswith("Task ") & line.contains(" depends on Task ")
+    kind = (
+        F.when(is_time, "time")
+        .when(is_duration, "duration")
+        .when(is_missing, "missing")
+        .when(is_depends, "depends")
+        .otherwise("marker")
+    )
     known = (
         F.when(is_time, line.rlike(TIME_LINE))
         .when(is_duration, line.rlike(SECONDS_LINE))
+        .when(is_missing, line.rlike(MISSING_LINE))
+        .when(is_depends, line.rlike(DEPENDS_LINE))
         .otherwise(is_marker & line.rlike(MARKER_LINE))
     )
 
@@ -183,7 +235,13 @@ def log_events(logs: DataFrame) -> DataFrame:
             "kind",
             part("marker", MARKER_LINE, 1).alias("job"),
             last_word.alias("marker"),
-            F.coalesce(part("time", TIME_LINE, 1), part("duration", SECONDS_LINE, 1)).alias("task"),
+            F.coalesce(
+                part("time", TIME_LINE, 1),
+                part("duration", SECONDS_LINE, 1),
+                part("missing", MISSING_LINE, 1),
+                part("depends", DEPENDS_LINE, 1),
+            ).alias("task"),
+            part("depends", DEPENDS_LINE, 2).alias("depends_on"),
             part("time", TIME_LINE, 2).alias("end"),
             # The 19 characters before " GMT..." of a line of that pattern.
             F.when(F.col("kind") == "time", F.substring(line, -26, 19)).alias("moment"),
@@ -193,6 +251,8 @@ def log_events(logs: DataFrame) -> DataFrame:
     event = (
         F.when(F.col("kind") == "marker", F.col("marker"))
         .when(F.col("kind") == "duration", "TIMED")
+        .when(F.col("kind") == "missing", "MISSING")
+        .when(F.col("kind") == "depends", "DEPENDS_ON")
         .when(F.col("end") == "", "STARTED")
         .otherwise(F.upper("end"))
     )
@@ -206,6 +266,7 @@ def log_events(logs: DataFrame) -> DataFrame:
         "seconds",
         (F.col("seconds") / 60).alias("minutes"),
         (F.col("seconds") / 3600).alias("hours"),
+        "depends_on",
     )
 
 

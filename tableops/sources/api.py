@@ -31,9 +31,20 @@ def fetch(
     def get(batches):
         import base64
         import urllib.request
+        from urllib.parse import urlsplit
 
         import pandas as pd
 
+        class SameHost(urllib.request.HTTPRedirectHandler):
+            """Follows redirects, but takes no credentials to another host."""
+
+            def redirect_request(self, req, fp, code, msg, headers, newurl):
+                new = super().redirect_request(req, fp, code, msg, headers, newurl)
+                if new is not None and urlsplit(newurl)[:2] != urlsplit(req.full_url)[:2]:
+                    new.remove_header("Authorization")
+                return new
+
+        opener = urllib.request.build_opener(SameHost)
         headers = {"Accept": "application/json"}
         if user is not None:
             pair = base64.b64encode(f"{user}:{token or ''}".encode()).decode()
@@ -42,7 +53,7 @@ def fetch(
             for endpoint in batch[column]:
                 url = base_url + endpoint
                 request = urllib.request.Request(url, headers=headers)
-                with urllib.request.urlopen(request, timeout=timeout) as response:
+                with opener.open(request, timeout=timeout) as response:
                     status = response.status or 200
                     if status != 200:
                         raise RuntimeError(f"{url} answered with status {status}")

@@ -69,12 +69,12 @@ def read_delimited(
     path: str,
     schema: str | T.StructType,
     delimiter: str = "|",
-    multiline: bool = True,
+    multiline: bool = False,
 ) -> DataFrame:
     """Delimited files with a header and known column types.
 
-    ``multiline`` lets a quoted cell hold line breaks, and then each file is one
-    task; turn it off where no cell does, and large files are split.
+    Large files are split over tasks. ``multiline`` lets a quoted cell hold line
+    breaks, and then each file is one task.
     """
     return (
         spark.read.schema(schema)
