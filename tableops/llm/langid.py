@@ -182,7 +182,7 @@ def distances(batch_texts: list[str], profiles: Profiles) -> tuple[np.ndarray, n
         want = np.where(known, profiles.ranks[place, j], -1)
         off = np.where(want >= 0, np.minimum(np.abs(want - rank), profiles.size), profiles.size)
         out[:, j] = np.bincount(doc, weights=off, minlength=docs)
-    return out / np.maximum(seen, 1)[:, None] / profiles.size, seen
+    return np.where(seen[:, None] > 0, out / np.maximum(seen, 1)[:, None] / profiles.size, 1.0), seen
 
 
 def _predicted(batch_texts: list[str], profiles: Profiles) -> tuple[list[str], np.ndarray]:

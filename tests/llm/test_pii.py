@@ -1,0 +1,131 @@
+"""Patterns against plain ones, gradients against differences, decoding and reconciling."""
+
+import itertools
+import random
+import re
+
+import numpy as np
+
+from tableops.llm import pii
+
+PATTERNS = {
+    0: r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    1: r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    2: r"[0-9]([\x20-]?[0-9])+",
+    3: r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain(text):
+    out = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            fits = {
+                0: lambda m: True,
+                1: lambda m: all(int(x) <= 255 for x in m[0].split(".")),
+                2: lambda m, d=digits: 16 <= len(d) <= 19 and pii.luhn(d),
+                3: lambda m, d=digits: 8 <= len(d) <= 15,
+            }
+            if fits[kind](m):
+                out.append((kind, *m.span()))
+    return out
+
+
+def test_base_spans():
+    rng = random.Random(1)
+    card = "4111 1111 1111 1111"
+    texts = ["a@b.c@d.e", "1.2.3.4.5.6.7.8", "1.2.3.999", f"x{card}5", card, "+1 (499) 555-6503", "a" * 3000 + "@"]
+    texts += ["".join(rng.choices("aZ.@-+1 2().9%é", k=rng.randint(1, 60))) for _ in range(20_000)]
+    for t in texts:
+        assert pii.base_spans(t) == plain(t), t
+
+
+def test_long_runs_take_no_longer_than_they_are_long():
+    assert pii.base_spans("a" * 300_000 + "@" + "1" * 300_000) == []
+    assert pii.base_spans("9" * 200_000 + " " + ".1" * 100_000)[:1] != [(0, 0, 0)]
+
+
+def test_gradients():
+    w = pii.start_weights(4, 3, kind=np.float64)
+    rng = np.random.default_rng(0)
+    x, y = rng.integers(0, 99, (3, 7)), rng.integers(0, pii._TAGS, (3, 7))
+    _, grads = pii.gradients(w, x, y)
+    for name, value in w.items():
+        flat = value.reshape(-1)
+        for i in rng.choice(flat.size, min(4, flat.size), replace=False):
+            was = flat[i]
+            flat[i] = was + 1e-5
+            up = pii.gradients(w, x, y)[0]
+            flat[i] = was - 1e-5
+            down = pii.gradients(w, x, y)[0]
+            flat[i] = was
+            assert abs((up - down) / 2e-5 - grads[name].reshape(-1)[i]) < 1e-7, name
+
+
+def test_best_path_by_trying_all():
+    w = pii.start_weights(4, 3, seed=3, kind=np.float64)
+    w["moves"] = np.random.default_rng(1).normal(size=w["moves"].shape)
+    window = np.array([[5, 40, 60]])
+    emission = pii._emissions(w, window)[0][:, 0]
+
+    def score(path):
+        steps = sum(w["moves"][a, b] for a, b in zip(path, path[1:], strict=False))
+        return w["start"][path[0]] + steps + sum(emission[t, k] for t, k in enumerate(path))
+
+    paths = list(itertools.product(range(pii._TAGS), repeat=3))
+    best = max(paths, key=score)
+    path, sure = pii.Tagger(w).decode(window)
+    assert tuple(path[0]) == best
+    assert abs(sure[0] - (score(best) - score((0, 0, 0)))) < 1e-9
+
+
+def test_disguised_values_are_learned(spark, make_docs):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 8)))
+
+    def value(kind):
+        if kind == 0:
+            return f"{word()}.{rng.randint(1, 99)}@{word()}.example.com"
+        if kind == 1:
+            return ".".join(str(rng.randint(1, 255)) for _ in range(4))
+        if kind == 2:
+            digits = "".join(rng.choices("0123456789", k=15))
+            return next(digits + d for d in "0123456789" if pii.luhn(digits + d))
+        return f"+{rng.randint(1, 9)} ({rng.randint(100, 999)}) {rng.randint(100, 999)}-{rng.randint(1000, 9999)}"
+
+    def text(kind, disguise):
+        v = value(kind)
+        v = pii._disguised(kind, v, rng.randrange(6)) if disguise else v
+        before = " ".join(word() for _ in range(rng.randint(3, 30))) + " "
+        return before + v + " " + " ".join(word() for _ in range(20)), (kind, len(before), len(before) + len(v))
+
+    known = [(i, text(i % 4, False)[0]) for i in range(400)]
+    known += [(1000 + i, f"{word()} version 2.{i} of 20{i % 90 + 10} {word()}") for i in range(100)]
+    tagger = pii.train(make_docs(known))
+    asked = [(i, *text(i % 4, True)) for i in range(120)]
+    got = {r.doc_id: r for r in pii.find(make_docs([a[:2] for a in asked]), tagger, "doc_id").collect()}
+    hits = sum(f"{pii.KINDS[k]}:{s}:{e}" in got[i].spans.split(",") for i, _, (k, s, e) in asked)
+    assert hits >= 100
+    clean = [(i, f"{word()} costs {i} or {i * 37} {word()} in 19{i % 90 + 10}, see 3.{i}") for i in range(200)]
+    assert sum(r.n_added for r in pii.find(make_docs(clean), tagger, "doc_id").collect()) == 0
+
+
+def test_reconciling():
+    text = "at 10[.]0[.]0[.]1 or bob [at] mail.example.com ok"
+    ip, mail = (1, 3, 17), (0, 21, 46)
+    offered = [(1.0, ip), (2.0, (1, 3, 12)), (1.0, mail), (1.0, mail), (9.0, (3, 0, 2))]
+    assert pii.reconciled(text, offered, []) == [mail, ip]
+    assert pii.reconciled(text, offered, [(1, 16, 18)]) == [mail]
+
+
+def test_odd_rows(make_docs):
+    rows = [(1, None), (1, None), (2, ""), (None, "mail a.b@c.de now"), (3, "1" * 120_000), (4, "@ " * 5000)]
+    docs = make_docs(rows).withColumnsRenamed({"lang": "spans", "source": "n_ip"})
+    tagger = pii.train(docs, rounds=1)
+    for t in (tagger, None):
+        got = pii.find(docs, t, "doc_id").collect()
+        assert len(got) == len(rows)
+        assert {r.doc_id: r.base_spans for r in got}[None] == "email:5:13"
+    assert pii.train(make_docs([(1, "nothing here")])) is None
+    assert pii.find(make_docs([]), None, "doc_id").collect() == []
