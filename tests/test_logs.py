@@ -152,3 +152,51 @@ def test_app_lists(spark, tmp_path):
     old = applications.long_running(apps, 60, now).collect()
     assert [(r["id"], r["running_minutes"]) for r in old] == [("app1", 61)]
     assert ids(applications.long_running(apps, 10)) == ["app1", "app2"]
+
+
+def test_search_by_type_and_user(spark):
+    apps = spark.createDataFrame(
+        [("app1", datetime(2024, 1, 1), "me"), ("app2", datetime(2024, 1, 2), "you"), ("app3", datetime(2024, 1, 3), "me")],
+        "app_id string, finished_time timestamp_ntz, user string",
+    )
+    df = logs(
+        spark,
+        [("app1", "stderr", "needle"), ("app1", "stdout", "hay"), ("app2", "stderr", "needle"),
+         ("app3", "launch.sh", "needle"), ("app3", "stderr", "hay")],
+    )
+
+    def search(**options):
+        return sorted(tuple(r) for r in joblogs.log_search(df, apps, "needle", **options).collect())
+
+    assert search() == [("app2", "stderr", "needle")]
+    assert search(user="me") == [("app1", "stderr", "needle"), ("app1", "stdout", "hay")]
+    assert search(log_types=("launch.sh",)) == [("app3", "launch.sh", "needle")]
+    assert search(user="nobody") == []
+
+
+def test_the_failed_log(spark, apps):
+    df = logs(
+        spark,
+        [("app1", "stdout", f"{A} STARTED"), ("app1", "stdout", f"{A} FAILED"), ("app1", "stderr", "quiet"),
+         ("app2", "stdout", f"{B} SUCCEEDED")],
+    )
+    got = sorted(r["line"] for r in joblogs.failed_log(df, apps, A).collect())
+    assert got == [f"{A} FAILED", f"{A} STARTED"]
+    assert joblogs.failed_log(df, apps, B).isEmpty()
+
+
+def test_dependency_lines(spark):
+    df = logs(
+        spark,
+        [("app1", "stdout", "Task load depends on Task fetch all"), ("app1", "stdout", "Task fetch all missing as dependency"),
+         ("app1", "stdout", "a Task x depends on Task y")],
+    )
+    got = sorted((r["event"], r["task"], r["depends_on"]) for r in joblogs.log_events(df).collect())
+    assert got == [("DEPENDS_ON", "load", "fetch all"), ("MISSING", "fetch all", None)]
+
+
+def test_job_status_reads_the_logs_once(spark, apps, tmp_path):
+    logs(spark, [("app1", "stdout", f"{A} FAILED")]).write.parquet(str(tmp_path / "logs"))
+    plan = joblogs.job_status(spark.read.parquet(str(tmp_path / "logs")), apps)
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Relation") == 1

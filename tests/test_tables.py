@@ -102,3 +102,22 @@ def test_properties(spark, db, rows):
     assert tables.table_property(spark, f"{db}.t", "x.y") == "it's a \\ value"
     tables.rename_table(spark, f"{db}.t", f"{db}.u")
     assert tables.table_property(spark, f"{db}.u", "x.y") == "it's a \\ value"
+
+
+def test_partition_overwrite_leaves_the_session_alone(spark, db, monkeypatch):
+    name = f"{db}.kinds"
+    tables.create_partitioned(spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "i int, p string"), name, "p")
+    mode = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(mode)
+
+    def touched(self, key, value):
+        raise AssertionError(f"{key} was set")
+
+    monkeypatch.setattr(type(spark.conf), "set", touched)
+    tables.overwrite_partitions(spark.createDataFrame([(9, "a"), (8, "c")], "i int, p string"), name, "p")
+    monkeypatch.undo()
+    got = sorted((r["i"], r["p"]) for r in spark.table(name).collect())
+    assert got == [(2, "b"), (3, None), (8, "c"), (9, "a")]
+    assert spark.conf.get(mode) == before
+    tables.rename_table(spark, name, f"{db}.sorts")
+    assert spark.table(f"{db}.sorts").count() == 4
