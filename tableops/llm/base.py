@@ -7,6 +7,7 @@ used, so that others never clash with what an operator adds.
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
 
@@ -22,7 +23,20 @@ from tableops.session import shared_dir
 SLICE_BYTES = 1 << 20
 
 
+def on_workers(spark: SparkSession) -> None:
+    """Python workers look for this package where the driver has it.
+
+    Enough where they see that folder; else hand the package over with ``--py-files``.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    on_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -53,6 +67,7 @@ def texts(docs: DataFrame, *keep: str, text: str = "text") -> tuple[DataFrame, l
 
     Also these names, and the kept columns as the start of a schema.
     """
+    on_workers(docs.sparkSession)
     names = [f"k{i}" for i in range(len(keep))]
     plain = docs.select(
         *[docs[c].alias(k) for c, k in zip(keep, names, strict=True)],
