@@ -31,11 +31,12 @@ SPACE = "▁"
 #: The model file on the driver, unless ``spark.tableops.pieces`` names another.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Chunks a worker remembers.
-_KNOWN = 200_000
+#: Chunks a worker remembers, and pairs of pieces.
+_KNOWN = 400_000
+#: Characters of new chunks that are indexed at once.
+_INDEXED = 400_000
 #: Characters up to which chunks are relaxed side by side.
 _ABREAST = 64
-_SLICE = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -105,6 +106,10 @@ class Vocabulary:
         self.reached = sorted(reached)
         self.ids = np.array([usable[p] for p in self.reached], dtype=np.int64)
         self.longest = max(map(len, self.reached), default=1)
+        self.lengths = np.array([len(p) for p in self.reached], dtype=np.int64)
+        self.spelling = np.zeros((len(self.reached), self.longest), np.uint32)
+        for i, p in enumerate(self.reached):
+            self.spelling[i, : len(p)] = [ord(c) for c in p]
         pairs = {}
         for p, i in usable.items():
             for cut in range(1, len(p)):
@@ -211,37 +216,33 @@ def _edges(chunks: list[str], vocabulary: Vocabulary) -> tuple[np.ndarray, np.nd
     suffixes[tied] = suffixes[tied][np.lexsort(words[suffixes[tied]].T[::-1])]
     ordered = packed[suffixes].view(f"S{packed.shape[1]}").ravel()
 
-    known = {chr(c): i + 1 for i, c in enumerate(alphabet.tolist()) if not 0xD800 <= c < 0xE000}
-    low, high, which = [], [], []
-    for i, piece in enumerate(vocabulary.reached):
-        spelled = [known.get(c) for c in piece]
-        if None not in spelled:
-            own = np.array(spelled, dtype=kind).tobytes()
-            low.append(own)
-            high.append(own + np.array([top], kind).tobytes() * (longest - len(piece)))
-            which.append(i)
-    if not which:
-        starts, lengths, pieces = (np.zeros(0, np.int64) for _ in range(3))
-    else:
-        shape = f"S{packed.shape[1]}"
-        first = np.searchsorted(ordered, np.array(low, shape), side="left")
-        after = np.searchsorted(ordered, np.array(high, shape), side="right")
-        many = after - first
-        starts = suffixes[np.repeat(first, many) + spread(many)]
-        lengths = np.repeat([len(vocabulary.reached[i]) for i in which], many)
-        pieces = np.repeat(vocabulary.ids[which], many)
+    spelled = vocabulary.spelling
+    at = np.minimum(np.searchsorted(alphabet, spelled), len(alphabet) - 1)
+    which = np.flatnonzero(((alphabet[at] == spelled) | (spelled == 0)).all(axis=1))
+    beyond = np.arange(longest)[None, :] >= vocabulary.lengths[which, None]
+    own = at[which] + 1
+    shape = f"S{packed.shape[1]}"
+    low, high = (
+        np.where(beyond, fill, own).astype(kind).view(np.uint8).reshape(len(which), -1).view(shape).ravel()
+        for fill in (0, top)
+    )
+    first = np.searchsorted(ordered, low, side="left")
+    many = np.searchsorted(ordered, high, side="right") - first
+    starts = suffixes[np.repeat(first, many) + spread(many)].astype(np.int32)
+    lengths = np.repeat(vocabulary.lengths[which], many).astype(np.int32)
+    pieces = np.repeat(vocabulary.ids[which], many).astype(np.int32)
     own = np.zeros(len(codes), dtype=bool)
     own[starts[lengths == 1]] = True
-    odd = np.flatnonzero(~own & (codes != 0xFDD0))
+    odd = np.flatnonzero(~own & (codes != 0xFDD0)).astype(np.int32)
     return (
         np.r_[starts, odd],
-        np.r_[lengths, np.ones(len(odd), np.int64)],
-        np.r_[pieces, np.full(len(odd), vocabulary.unknown)],
+        np.r_[lengths, np.ones(len(odd), np.int32)],
+        np.r_[pieces, np.full(len(odd), vocabulary.unknown, np.int32)],
     )
 
 
-def encode_chunks(chunks: list[str], vocabulary: Vocabulary) -> list[np.ndarray]:
-    """The ids of each chunk, unknown characters in bytes."""
+def encode_chunks(chunks: list[str], vocabulary: Vocabulary) -> list[bytes]:
+    """The ids of each chunk as 32-bit numbers, unknown characters in bytes."""
     sizes = np.array([len(c) for c in chunks], dtype=np.int64)
     begins = np.cumsum(sizes + 1) - sizes - 1
     start, length, piece = _edges(chunks, vocabulary)
@@ -249,7 +250,8 @@ def encode_chunks(chunks: list[str], vocabulary: Vocabulary) -> list[np.ndarray]
     chunk = np.searchsorted(begins, start, side="right") - 1
     depth = end - begins[chunk]
     depth = np.where(sizes[chunk] <= _ABREAST, depth, 0)  # long chunks go one by one
-    order = np.argsort((depth << 56) | (end << 16) | (vocabulary.longest - length))
+    key = (depth.astype(np.int64) << 56) | (end.astype(np.int64) << 16)
+    order = np.argsort(key | (vocabulary.longest - length))
     start, length, piece, end, depth = (x[order] for x in (start, length, piece, end, depth))
 
     total = int(begins[-1] + sizes[-1] + 2) if len(chunks) else 1
@@ -273,7 +275,7 @@ def encode_chunks(chunks: list[str], vocabulary: Vocabulary) -> list[np.ndarray]
             e, before = e[last[end[e]] == -1], before[last[end[e]] == -1]
             good = before == -2
             check = np.flatnonzero(before >= 0)
-            good[check] = vocabulary.border(before[check], piece[e[check]])
+            good[check] = vocabulary.border(before[check], piece[e[check]].astype(np.int64))
             e = e[good]
             last[end[e]], back[end[e]] = piece[e], start[e]
     for s, p, e in zip(
@@ -283,19 +285,34 @@ def encode_chunks(chunks: list[str], vocabulary: Vocabulary) -> list[np.ndarray]
         if last[e] == -1 and (before == -2 or before >= 0 and vocabulary.bordered(int(before), p)):
             last[e], back[e] = p, s
 
-    found: list[list[int]] = []
-    lasts, backs = last.tolist(), back.tolist()
-    for c, begin, size in zip(chunks, begins.tolist(), sizes.tolist(), strict=True):
-        at, ids = begin + size, []
-        while at > begin:
-            if lasts[at] == vocabulary.unknown:
-                raw = c[at - begin - 1].encode("utf-8", "surrogatepass")
-                ids += vocabulary.bytes[list(raw[::-1])].tolist()
-            else:
-                ids.append(lasts[at])
-            at = backs[at]
-        found.append(ids[::-1])
-    return found
+    owners, ids, places = [], [], []
+    active, at = np.flatnonzero(sizes > 0), (begins + sizes)[sizes > 0]
+    while len(active):  # from the ends of all chunks to their beginnings
+        owners.append(active)
+        ids.append(last[at])
+        places.append(at)
+        at = back[at]
+        more = at > begins[active]
+        active, at = active[more], at[more]
+    if not owners:
+        return [b""] * len(chunks)
+    owner, ids, places = (np.concatenate(x) for x in (owners, ids, places))
+    order = np.argsort(places)  # chunks follow one another
+    owner, ids, places = owner[order], ids[order].astype(np.int32), places[order]
+    odd = np.flatnonzero(ids == vocabulary.unknown)
+    if len(odd):
+        raw = [
+            vocabulary.bytes[list(chunks[c][p - 1].encode("utf-8", "surrogatepass"))]
+            for c, p in zip(owner[odd].tolist(), (places[odd] - begins[owner[odd]]).tolist(), strict=True)
+        ]
+        many = np.ones(len(ids), np.int64)
+        many[odd] = [len(r) for r in raw]
+        owner, spelled = np.repeat(owner, many), np.repeat(ids == vocabulary.unknown, many)
+        ids = np.repeat(ids, many)
+        ids[spelled] = np.concatenate(raw)
+    ends = 4 * np.cumsum(np.bincount(owner, minlength=len(chunks)))
+    packed = ids.astype(np.int32).tobytes()
+    return [packed[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
 class Encoder:
@@ -303,17 +320,22 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
-    def __call__(self, batch_texts: list[str]) -> list[list[int]]:
+    def __call__(self, batch_texts: list[str]) -> list[bytes]:
+        """The ids of each text as 32-bit numbers."""
         split = [_CHUNK.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in batch_texts]
         if len(self.known) > _KNOWN:
             self.known.clear()
         known = self.known
         new = list({c for chunks in split for c in chunks if c not in known})
-        if new:
-            known.update(zip(new, encode_chunks(new, self.vocabulary), strict=True))
-        return [[i for c in chunks for i in known[c]] for chunks in split]
+        ends = np.cumsum([len(c) for c in new])
+        at = 0
+        while at < len(new):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _INDEXED)))
+            known.update(zip(new[at:to], encode_chunks(new[at:to], self.vocabulary), strict=True))
+            at = to
+        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
 
 
 _WORKER: dict[Model, Encoder] = {}
@@ -326,19 +348,35 @@ def _encoder(model: Model) -> Encoder:
     return _WORKER[model]
 
 
-def encode(docs: DataFrame, model: Model, *keep: str, text: str = "text") -> DataFrame:
-    """``keep`` columns of every row and ``ids``; a null or empty text has none."""
+def encode(
+    docs: DataFrame, model: Model, *keep: str, text: str = "text", verify: bool = False
+) -> DataFrame:
+    """``keep`` columns of every row and ``ids``; a null or empty text has none.
+
+    With ``verify`` the ids are decoded again where they were made, and ``round_trip``
+    says whether that gave the text.
+    """
     plain, kept, fields = texts(docs, *keep, text=text)
 
     def encoding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model)
-        for batch in slices(batches, limit=_SLICE):
-            ids = encoder(batch["text"].to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch[k] for k in kept), pa.array(ids, pa.list_(pa.int32()))], [*kept, "ids"]
-            )
-
-    return plain.mapInArrow(encoding, fields + "ids array<int>").toDF(*keep, "ids")
+        for batch in slices(batches):
+            originals = batch["text"].to_pylist()
+            own = encoder(originals)
+            ends = np.cumsum([0, *(len(x) // 4 for x in own)], dtype=np.int32)
+            flat = pa.array(np.frombuffer(b"".join(own), np.int32))
+            columns, names = [*(batch[k] for k in kept)], [*kept, "ids"]
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), flat))
+            if verify:
+                spell = encoder.vocabulary.decode
+                same = [spell(np.frombuffer(x, np.int32).tolist()) == t for x, t in zip(own, originals, strict=True)]
+                columns.append(pa.array(same, pa.bool_()))
+                names.append("round_trip")
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = ["ids", "round_trip"] if verify else ["ids"]
+    schema = fields + "ids array<int>" + (", round_trip boolean" if verify else "")
+    return plain.mapInArrow(encoding, schema).toDF(*keep, *names)
 
 
 def decode(encoded: DataFrame, model: Model, *keep: str, ids: str = "ids") -> DataFrame:
