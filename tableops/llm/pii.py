@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableops.llm.base import slices, texts
+from tableops.llm.base import lowest_by_hash, slices, staged, texts
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # kind, start, end
@@ -340,15 +340,10 @@ def train(docs: DataFrame, max_windows: int = 3000, **shape) -> Tagger | None:
                 ["window", "spans"],
             )
 
-    cut = plain.mapInArrow(cutting, "window string, spans array<int>").distinct()
+    cut = staged(plain.mapInArrow(cutting, "window string, spans array<int>").distinct(), "pii-windows")
     rows = []
     for some in (F.size("spans") > 0, F.size("spans") == 0):
-        rows += (
-            cut.where(some)
-            .orderBy(F.xxhash64("window", "spans"), "window", "spans")
-            .limit(max_windows // 2)
-            .collect()
-        )
+        rows += lowest_by_hash(cut.where(some), max_windows // 2, "window", "spans").collect()
     if not any(r.spans for r in rows):
         return None
     made = [

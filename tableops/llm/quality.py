@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableops.llm import rules
-from tableops.llm.base import slices, texts
+from tableops.llm.base import lowest_by_hash, slices, texts
 
 FEATURES = (
     "log_words word_length symbols repeated_lines repeated_words words_a_line different_words "
@@ -167,13 +167,8 @@ def train(
     If more than ``max_rows`` rows have a label, those whose ids hash lowest are used.
     """
     marked = labels.where(F.col(label).isNotNull()).select("doc_id", F.col(label).alias("label"))
-    rows = (
-        known.join(marked, "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES)
-        .limit(max_rows)
-        .select(*FEATURES, "label")
-        .toPandas()
-    )
+    joined = known.join(marked, "doc_id")
+    rows = lowest_by_hash(joined, max_rows, "doc_id", *FEATURES).select(*FEATURES, "label").toPandas()
     values = rows[list(FEATURES)].to_numpy(dtype=np.float64)
     return grow(values, rows["label"].to_numpy(dtype=np.float64), **shape)
 
