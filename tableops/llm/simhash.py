@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableops.llm.base import slices, staged, texts
@@ -63,7 +63,7 @@ class Scheme:
 
     @staticmethod
     def wide(shingle: int = 5, similarity: float = 0.8) -> Scheme:
-        """512 bits, whose distance estimates shingle resemblance to about 0.03.
+        """512 bits, whose distance estimates shingle resemblance to about 0.04.
 
         A resemblance J of two equally long texts is a cosine of 2 J / (1 + J), and
         the share of differing bits is the angle over pi. 32 segments of 16 bits find
@@ -325,12 +325,20 @@ def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
         if len(held_shards):
             yield made(held_shards, held_prints)
 
-    return (
+    edges = (
         pairs.repartition("shard")
-        .sortWithinPartitions("shard")
+        .sortWithinPartitions("shard", "fingerprint")  # so that roots of many shards are one node
         .mapInArrow(linking, "a binary, b binary")
         .distinct()
     )
+    # a node has an edge for each of its shards at most; of these one stays, and the
+    # roots the others name are linked among themselves
+    lowest = edges.withColumn("low", F.min("b").over(Window.partitionBy("a")))
+    return (
+        lowest.select("a", F.col("low").alias("b"))
+        .union(lowest.where("b != low").select(F.col("b"), F.col("low")))
+        .distinct()
+    )
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -381,7 +389,8 @@ def groups(prints: DataFrame, scheme: Scheme | None = None, name: str = "simhash
     placed = nodes.join(roots, nodes.fingerprint == roots.node, "left").select(
         "fingerprint", "head", F.coalesce("root", "fingerprint").alias("root")
     )
-    heads = placed.groupBy("root").agg(F.min("head").alias("component"))
+    # staged, so that the join's other side can be split where a component is large
+    heads = staged(placed.groupBy("root").agg(F.min("head").alias("component")), f"{name}-heads")
     return placed.join(heads, "root").select("fingerprint", "root", "component")
 
 
