@@ -215,13 +215,17 @@ def _candidates(rows: DataFrame, lim: Limits) -> DataFrame:
     found = plain.mapInArrow(
         _anchor_rows(lim), "gram long, context long, uid long, mark int, pos int"
     )
+    # staged, so that the joins read counts from shuffles of their own, beside which
+    # adaptive execution can split a gram that much of the corpus holds
     twice = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    twice = staged(twice, "repeats-grams")
     left = staged(found.join(twice, "gram"), "repeats-anchors")
     tag = F.xxhash64("uid", "mark", "pos")
     by_context = left.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(tag).alias("tag"))
     by_context = staged(by_context, "repeats-contexts")
-    several = (
-        by_context.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1")
+    several = staged(
+        by_context.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1"),
+        "repeats-several",
     )
     known = by_context.join(several, "gram", "left")
     return left.join(known, ["gram", "context"]).select(
@@ -273,36 +277,52 @@ def _part(**values) -> tuple:
     return (values.get("row"), *(values.get(name) for name, _, _ in _PART_FIELDS))
 
 
-def _decided(body: bytes, found: list[dict], lim: Limits):
-    """Starts of repeated and of open windows of one body, and its contexts to be compared.
+def _decided(bodies: list[bytes], found: list[list[dict]], lim: Limits):
+    """For each body: starts of repeated and of open windows, and contexts to be compared.
 
-    A context is ``(gram, pos, left, bytes, offsets, open, crowded, hashes)``: offsets of its
-    windows that may have an equal, and those of them that are open.
+    A context is ``(gram, pos, left, bytes, offsets, open, hashes)``: offsets of its windows
+    that may have an equal, those of them that are open, and for a crowded gram the
+    windows' hashes instead of a meeting.
     """
-    windows, chosen, _, _, _, h = anchors([body], lim)
-    state = {}
-    for a in found:
-        state[a["pos"]] = a
-    at = np.unique(chosen)
-    kind = np.array([state[p]["state"] if p in state else 0 for p in at.tolist()])
+    windows, chosen, _, begins, _, h = anchors(bodies, lim)
+    at = chosen[np.r_[True, chosen[1:] != chosen[:-1]]] if len(chosen) else chosen
+    known = np.concatenate(
+        [begin + np.array([f["pos"] for f in fs], np.int64) for begin, fs in zip(begins.tolist(), found, strict=True)]
+    )
+    facts = [f for fs in found for f in fs]
+    kind, fact = np.zeros(len(at), np.int64), np.full(len(at), -1)
+    place = np.searchsorted(at, known)
+    kind[place] = [f["state"] for f in facts]
+    fact[place] = np.arange(len(facts))
     sure = np.r_[0, np.cumsum(kind == _TWICE)]
     low = np.searchsorted(at, windows)
     high = np.searchsorted(at, windows + lim.before, side="right")
     repeated = sure[high] > sure[low]
-    is_open = ~repeated & (kind[np.searchsorted(at, chosen)] == _OPEN)
-    contexts = []
-    alive = np.flatnonzero(repeated | is_open)
-    by_anchor = np.searchsorted(chosen[alive], at)
-    until = np.searchsorted(chosen[alive], at, side="right")
-    for p, a, b in zip(at.tolist(), by_anchor.tolist(), until.tolist(), strict=True):
-        if a == b or p not in state or not state[p]["speaks"]:
-            continue
-        own = windows[alive[a:b]]
-        left, right = min(p, lim.before), min(len(body) - p, lim.length)
-        offsets, opened = p - own, p - own[is_open[alive[a:b]]]
-        hashes = h.of(own, own + lim.length).view(np.int64) if state[p]["crowded"] else None
-        contexts.append((state[p]["gram"], p, left, body[p - left : p + right], offsets, opened, hashes))
-    return windows[repeated], windows[is_open], contexts
+    own = np.searchsorted(at, chosen)
+    is_open = ~repeated & (kind[own] == _OPEN)
+    speaks = np.array([f >= 0 and facts[f]["speaks"] for f in fact.tolist()], dtype=bool)
+    alive = np.flatnonzero((repeated | is_open) & speaks[own])
+    edges = np.flatnonzero(np.r_[True, own[alive][1:] != own[alive][:-1], True]) if len(alive) else [0]
+    body_of = np.searchsorted(begins, at, side="right") - 1
+    contexts: list[list[tuple]] = [[] for _ in bodies]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        some = alive[a:b]
+        i = own[some[0]]
+        body, f = body_of[i], facts[fact[i]]
+        pos = int(at[i] - begins[body])
+        left, right = min(pos, lim.before), min(len(bodies[body]) - pos, lim.length)
+        offsets = at[i] - windows[some]
+        hashes = h.of(windows[some], windows[some] + lim.length).view(np.int64) if f["crowded"] else None
+        contexts[body].append(
+            (f["gram"], pos, left, bodies[body][pos - left : pos + right], offsets, offsets[is_open[some]], hashes)
+        )
+    out = []
+    cuts = np.searchsorted(windows, [*begins.tolist(), begins[-1] + len(bodies[-1]) + 1])
+    for k, begin in enumerate(begins.tolist()):
+        part = slice(cuts[k], cuts[k + 1])
+        mine = windows[part] - begin
+        out.append((mine[repeated[part]], mine[is_open[part]], contexts[k]))
+    return out
 
 
 def _parts(lim: Limits):
@@ -318,9 +338,12 @@ def _parts(lim: Limits):
 
         for batch in slices(batches, "body"):
             fields = [("row", batch.schema.field("row").type), *((n, t) for n, t, _ in _PART_FIELDS)]
-            for r in batch.to_pylist():
+            records = batch.to_pylist()
+            some = [r for r in records if r["found"]]
+            decided = iter(_decided([r["body"] for r in some], [r["found"] for r in some], lim) if some else ())
+            for r in records:
                 body, key = r["body"], {"uid": r["uid"], "mark": r["mark"]}
-                twice, opened, contexts = _decided(body, r["found"], lim) if r["found"] else ([], [], [])
+                twice, opened, contexts = next(decided) if r["found"] else ((), (), ())
                 runs = _runs(np.asarray(twice))
                 if len(opened):
                     rows.append(_part(sort=1, row=r["row"], body=body, runs=runs, **key))
@@ -357,35 +380,91 @@ def _parts(lim: Limits):
     return parts
 
 
+#: Contexts of a gram up to which each is extended along each other instead of sorted.
+_FEW = 6
+
+
+def _extended(data, h, begins, ends, lefts, a, b, twice, lim: Limits) -> None:
+    """Marks windows that pairs of contexts share: how far both agree from their anchors on.
+
+    The windows of an offset o lie in the common part if it reaches o bytes back and
+    ``length`` - o ahead. That the bytes agree, not only their hashes, is checked.
+    """
+    pa_, pb = begins[a] + lefts[a], begins[b] + lefts[b]
+    ahead = _reach(h, pa_, pb, np.minimum(ends[a] - pa_, ends[b] - pb), 1)
+    back = _reach(h, pa_, pb, np.minimum(lefts[a], lefts[b]), -1)
+    low, high = np.maximum(lim.length - ahead, 0), np.minimum(back, lim.before)
+    some = np.flatnonzero(low <= high)
+    for i in some.tolist():
+        x, y, n = pa_[i] - back[i], pb[i] - back[i], back[i] + ahead[i]
+        if np.array_equal(data[x : x + n], data[y : y + n]):
+            twice[a[i], low[i] : high[i] + 1] = True
+            twice[b[i], low[i] : high[i] + 1] = True
+
+
+def _reach(h: PrefixHashes, a: np.ndarray, b: np.ndarray, most: np.ndarray, way: int) -> np.ndarray:
+    """How many bytes after (way 1) or before (-1) two places agree, by binary search."""
+    low, high = np.zeros(len(a), np.int64), most.astype(np.int64)
+    while (low < high).any():
+        middle = (low + high + 1) // 2
+        if way > 0:
+            same = h.of(a, a + middle) == h.of(b, b + middle)
+        else:
+            same = h.of(a - middle, a) == h.of(b - middle, b)
+        low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
+    return low
+
+
+def _sorted_out(data, h, begins, lefts, grams, rows, index, twice, lim: Limits) -> None:
+    """Marks windows of larger groups, whose suffixes are sorted by gram and offset."""
+    counts = np.array([len(r["offsets"]) for r in rows])
+    offsets = np.concatenate([np.asarray(r["offsets"], np.int64) for r in rows])
+    who = np.repeat(index, counts)
+    opened = np.concatenate([np.isin(r["offsets"], r["open"]) for r in rows])
+    group = grams[who] * (lim.before + 1) + offsets
+    wanted = np.isin(group, group[opened])
+    group, who, offsets = (x[wanted] for x in (group, who, offsets))
+    by_group = np.argsort(group, kind="stable")
+    group, who, offsets = (x[by_group] for x in (group, who, offsets))
+    starts = begins[who] + lefts[who] - offsets
+    order = suffix_sort(data, h, starts, group, lim.length)
+    a, b = order[:-1], order[1:]
+    near = np.flatnonzero(group[a] == group[b])
+    a, b = a[near], b[near]
+    same = common_prefix(h, starts[a], starts[b], lim.length) >= lim.length
+    a, b = a[same], b[same]
+    steps = np.arange(lim.length)
+    for at in range(0, len(a), 4096):  # equal hashes are not proof yet
+        x, y = a[at : at + 4096], b[at : at + 4096]
+        equal = (data[starts[x][:, None] + steps] == data[starts[y][:, None] + steps]).all(axis=1)
+        for side in (x[equal], y[equal]):
+            twice[who[side], offsets[side]] = True
+
+
 def _compared(lim: Limits):
     """Repeated windows among contexts, which come sorted by gram."""
 
     def sort_of(rows: list[dict]) -> tuple[list, list, list]:
-        data, begins, _ = _joined([r["body"] for r in rows])
+        data, begins, ends = _joined([r["body"] for r in rows])
         h = PrefixHashes(data)
         grams = np.unique([r["gram"] for r in rows], return_inverse=True)[1]
-        counts = np.array([len(r["offsets"]) for r in rows])
-        offsets = np.concatenate([np.asarray(r["offsets"], np.int64) for r in rows])
-        who = np.repeat(np.arange(len(rows)), counts)
-        opened = np.concatenate([np.isin(r["offsets"], r["open"]) for r in rows])
-        group = grams[who] * (lim.before + 1) + offsets
-        wanted = np.isin(group, group[opened])
-        group, who, offsets, opened = (x[wanted] for x in (group, who, offsets, opened))
-        by_group = np.argsort(group, kind="stable")
-        group, who, offsets, opened = (x[by_group] for x in (group, who, offsets, opened))
-        starts = begins[who] + np.array([r["left"] for r in rows])[who] - offsets
-        order = suffix_sort(data, h, starts, group, lim.length)
-        a, b = order[:-1], order[1:]
-        near = np.flatnonzero(group[a] == group[b])
-        same = common_prefix(h, starts[a[near]], starts[b[near]], lim.length) >= lim.length
-        twice = np.zeros(len(order), bool)
-        for i in near[same].tolist():  # equal hashes are not proof yet
-            x, y = starts[a[i]], starts[b[i]]
-            if np.array_equal(data[x : x + lim.length], data[y : y + lim.length]):
-                twice[[a[i], b[i]]] = True
-        out = np.flatnonzero(twice & opened)
-        at = np.array([r["pos"] for r in rows])[who[out]] - offsets[out]
-        return [rows[i]["uid"] for i in who[out]], [rows[i]["mark"] for i in who[out]], at.tolist()
+        lefts = np.array([r["left"] for r in rows])
+        size = np.bincount(grams)[grams]
+        twice = np.zeros((len(rows), lim.before + 1), dtype=bool)
+        few = np.flatnonzero(size <= _FEW)
+        for gap in range(1, int(size[few].max(initial=1))):
+            a, b = few[:-gap], few[gap:]
+            same = grams[a] == grams[b]
+            _extended(data, h, begins, ends, lefts, a[same], b[same], twice, lim)
+        many = np.flatnonzero(size > _FEW)
+        if len(many):
+            _sorted_out(data, h, begins, lefts, grams, [rows[i] for i in many], many, twice, lim)
+        who = np.repeat(np.arange(len(rows)), [len(r["open"]) for r in rows])
+        offsets = np.concatenate([np.asarray(r["open"], np.int64) for r in rows])
+        out = twice[who, offsets]
+        who, offsets = who[out], offsets[out]
+        at = np.array([r["pos"] for r in rows], np.int64)[who] - offsets
+        return [rows[i]["uid"] for i in who], [rows[i]["mark"] for i in who], at.tolist()
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
