@@ -80,3 +80,20 @@ def test_stages_take_odd_rows(spark, make_docs, tmp_path):
         assert stage(spark, docs, folder).columns == docs.columns
         assert stage(spark, docs.where("false"), folder).collect() == []
     assert langid.train(docs.where("false")).langs == ()
+
+
+def test_near_duplicates_by_exact_resemblance(spark):
+    """One document stays of each component of pairs at 0.8 or more, and no other is dropped."""
+    docs = sorted(table(spark, SF_DIR, "documents").collect(), key=lambda d: d.doc_id)
+    hashed = [simhash.shingle_hashes(d.text or "", 5).tolist() for d in docs]
+    group = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            x, y = Counter(hashed[i]), Counter(hashed[j])
+            every = sum((x | y).values())
+            if (not every or sum((x & y).values()) / every >= 0.8) and group[i] != group[j]:
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    want = [d.doc_id for k, d in enumerate(docs) if group.index(group[k]) == k]
+    got = corpus_pipeline.near_duplicates(spark, table(spark, SF_DIR, "documents"), SF_DIR)
+    assert sorted(r.doc_id for r in got.collect()) == want
