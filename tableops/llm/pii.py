@@ -404,25 +404,77 @@ def reconciled(text: str, offered: list[tuple[float, Span]], base: list[Span]) -
     return sorted(kept)
 
 
+def _joined(found: list[tuple[float, Span, bool, bool]]) -> list[tuple[float, Span]]:
+    """Spans of all windows of a text, those cut by an edge joined with their continuation.
+
+    A span is ``(sure, span, cut before, cut after)``. Two of one kind that overlap or
+    touch belong together if one is cut where the other goes on; both they and the whole
+    run of such spans are offered.
+    """
+    out = [(sure, span) for sure, span, before, after in found if not before and not after]
+    run: tuple[float, Span, bool, bool] | None = None
+    last = run
+    for sure, (kind, start, end), before, after in sorted(set(found), key=lambda x: x[1]):
+        goes_on = run is not None and run[1][0] == kind and start <= run[1][2] and (run[3] or before)
+        if goes_on:
+            out.append((min(last[0], sure), (kind, last[1][1], max(last[1][2], end))))
+            open_end = after if end > run[1][2] else run[3] and (after or end < run[1][2])
+            run = min(run[0], sure), (kind, run[1][1], max(run[1][2], end)), run[2], open_end
+            out.append((run[0], run[1]))
+        else:
+            run = sure, (kind, start, end), before, after
+        last = sure, (kind, start, end), before, after
+    return out
+
+
+def _further(text: str, start: int, before: bool, after: bool) -> list[int]:
+    """Where windows go on from one at ``start`` with a span cut before or after it.
+
+    Before it from the start of the run of characters without a blank, with as much ahead as in training.
+    """
+    out = [start + WINDOW - OVERLAP] if after else []
+    if before:
+        low = start
+        while low and not text[low - 1].isspace():
+            low -= 1
+        low = max(0, min(low - 16, start - OVERLAP))
+        out += range(low, start, WINDOW - OVERLAP)
+    return out
+
+
 def added_spans(batch_texts: list[str], base: list[list[Span]], tagger: Tagger) -> list[list[Span]]:
-    """What the tagger finds beyond the base spans of each text."""
+    """What the tagger finds beyond the base spans of each text.
+
+    Windows are added for as long as a span is cut by the edge of the outermost one.
+    """
     places = [(d, s) for d, t in enumerate(batch_texts) for s in _windows(t)]
-    offered: list[list[tuple[float, Span]]] = [[] for _ in batch_texts]
-    for at in range(0, len(places), 512):
-        some = places[at : at + 512]
-        symbols = np.full((len(some), WINDOW), _PAD)
-        for r, (d, s) in enumerate(some):
-            own = _symbols(batch_texts[d][s : s + WINDOW])
-            symbols[r, : len(own)] = own
-        paths, sure = tagger.decode(symbols)
-        for r in np.flatnonzero(paths.any(axis=1)).tolist():
-            d, s = some[r]
-            size = len(batch_texts[d])
-            for kind, a, b in _spans_of(paths[r]):
-                cut = (a == 0 and s > 0) or (b == WINDOW and s + b < size)
-                if not cut and s + b <= size:
-                    offered[d].append((float(sure[r]), (kind, s + a, s + b)))
-    return [reconciled(*x) for x in zip(batch_texts, offered, base, strict=True)]
+    found: list[list[tuple[float, Span, bool, bool]]] = [[] for _ in batch_texts]
+    done = set(places)
+    while places:
+        more: list[tuple[int, int]] = []
+        for at in range(0, len(places), 512):
+            some = places[at : at + 512]
+            symbols = np.full((len(some), WINDOW), _PAD)
+            for r, (d, s) in enumerate(some):
+                own = _symbols(batch_texts[d][s : s + WINDOW])
+                symbols[r, : len(own)] = own
+            paths, sure = tagger.decode(symbols)
+            for r in np.flatnonzero(paths.any(axis=1)).tolist():
+                d, s = some[r]
+                size = len(batch_texts[d])
+                for kind, a, b in _spans_of(paths[r]):
+                    if s + b > size:
+                        continue
+                    before, after = a == 0 and s > 0, b == WINDOW and s + b < size
+                    found[d].append((float(sure[r]), (kind, s + a, s + b), before, after))
+                    if before and (d, max(0, s - OVERLAP)) in done:  # a window of the stretch goes on
+                        before = False
+                    for start in _further(batch_texts[d], s, before, after):
+                        if (d, start) not in done:
+                            done.add((d, start))
+                            more.append((d, start))
+        places = more
+    return [reconciled(t, _joined(f), b) for t, f, b in zip(batch_texts, found, base, strict=True)]
 
 
 def _tagged(spans: list[Span]) -> str:

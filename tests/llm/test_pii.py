@@ -129,3 +129,22 @@ def test_odd_rows(make_docs):
         assert {r.doc_id: r.base_spans for r in got}[None] == "email:5:13"
     assert pii.train(make_docs([(1, "nothing here")])) is None
     assert pii.find(make_docs([]), None, "doc_id").collect() == []
+
+
+class Between:
+    """Tags what stands between commas as an email, whichever part of it a window shows."""
+
+    def decode(self, windows):
+        inside = (windows != pii._ALPHABET[","]) & (windows != pii._PAD)
+        first = inside & np.c_[np.zeros(len(windows), bool), ~inside[:, :-1]]
+        return np.where(inside, 2 - first, 0), np.ones(len(windows))
+
+
+def test_spans_longer_than_a_window_are_joined():
+    for local in ("alice.wong", "a" * 23, "first.middle.last.of.a.long.department.name", "x" * 150):
+        for domain in ("research [dot] university [dot] edu", "mail.example.com", "y" * 90 + " [dot] org"):
+            value = f"{local} [at] {domain}"
+            for ahead in (0, 3, 40, 77):
+                text = "a " * ahead + "," + value + "," + " b" * 60
+                start = 2 * ahead + 1
+                assert pii.added_spans([text], [[]], Between()) == [[(0, start, start + len(value))]], text
