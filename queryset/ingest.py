@@ -10,6 +10,8 @@ from tableops.functions.scalars import normalize_name
 from tableops.sources import api, files, sheets
 
 _PAGE_ROWS = 500
+#: Lines of a file that is read as one row.
+_FILE_LINES = 1_000_000
 _CUSTOMER = {
     "c_custkey": "bigint",
     "c_name": "string",
@@ -102,13 +104,23 @@ def json_file_scan(spark, sf_dir):
     return files.read_json(spark, path, events.schema)
 
 
-def _folders(spark, sf_dir, query):
-    """The kinds of events, a line each, in a folder and one file per kind."""
+def _folders(spark, sf_dir, query, file_lines=None):
+    """The kinds of events, a line each, in a folder per kind.
+
+    One file per kind, or with ``file_lines`` files of at most so many lines, dealt to as
+    many tasks as the number of rows asks for.
+    """
     path = f"{fresh_path(spark, query)}/kinds"
     events = table(spark, sf_dir, "events")
     line = F.concat_ws(" ", F.col("event_id").cast("string"), F.col("user_id").cast("string"))
-    kinds = events.select("event_type", line.alias("line")).repartition("event_type")
-    kinds.write.partitionBy("event_type").text(path)
+    kinds = events.select("event_type", line.alias("line"))
+    if file_lines is None:
+        kinds.repartition("event_type").write.partitionBy("event_type").text(path)
+        return path
+    buckets = -(-events.count() // file_lines)
+    bucket = F.pmod(F.xxhash64("line"), F.lit(max(1, buckets)))
+    dealt = kinds.repartition("event_type", bucket)
+    dealt.write.option("maxRecordsPerFile", file_lines).partitionBy("event_type").text(path)
     return path
 
 
@@ -128,13 +140,17 @@ def dir_sizes(spark, sf_dir):
 
 
 def whole_text(spark, sf_dir):
-    """Whole files, one row each: how many lines and characters."""
-    path = _folders(spark, sf_dir, "whole_text")
+    """Whole files of bounded size, one row each, and how many lines and characters a kind has."""
+    path = _folders(spark, sf_dir, "whole_text", _FILE_LINES)
     whole = files.read_whole(spark, path)
-    return whole.select(
-        F.regexp_extract("path", "/event_type=([^/]+)/[^/]+$", 1).alias("kind"),
-        F.regexp_count("value", F.lit("\n")).cast("long").alias("lines"),
-        F.length("value").cast("long").alias("chars"),
+    return (
+        whole.select(
+            F.regexp_extract("path", "/event_type=([^/]+)/[^/]+$", 1).alias("kind"),
+            F.regexp_count("value", F.lit("\n")).cast("long").alias("lines"),
+            F.length("value").cast("long").alias("chars"),
+        )
+        .groupBy("kind")
+        .agg(F.sum("lines").alias("lines"), F.sum("chars").alias("chars"))
     )
 
 

@@ -176,3 +176,22 @@ def test_ragged_and_reordered_sheets(spark, tmp_path, multiline):
     assert read(mixed) == [("1", "2"), ("10", "20")]
     with pytest.raises(ValueError, match="headers differ"):
         read(sheet(tmp_path / "other", a="A,B\n1,2\n", b="A,C\n1,2\n"))
+
+
+def test_whole_text_reads_bounded_files(spark, monkeypatch):
+    from queryset import ingest
+
+    sf_dir, read, most = "/root/testdata/sf0.001", ingest.files.read_whole, []
+
+    def reading(spark, path):
+        whole = read(spark, path)
+        most.extend(r.value.count("\n") for r in whole.collect())
+        return whole
+
+    want = {r.kind: (r.lines, r.chars) for r in ingest.whole_text(spark, sf_dir).collect()}
+    monkeypatch.setattr(ingest, "_FILE_LINES", 50, raising=False)
+    monkeypatch.setattr(ingest.files, "read_whole", reading)
+    got = {r.kind: (r.lines, r.chars) for r in ingest.whole_text(spark, sf_dir).collect()}
+    assert got == want
+    assert max(most) <= 50
+    assert sum(most) == ingest.table(spark, sf_dir, "events").count()
