@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tableops.llm import (
     archives,
     decontam,
+    fim,
     langid,
     pieces,
     pii,
@@ -191,6 +192,42 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document taken apart, and put together again from what that gave."""
+    made = fim.transform(
+        table(spark, sf_dir, "documents"), "doc_id"
+    ).withColumn("output_sha256", F.sha2("output", 256))
+    names = ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256"]
+    back = fim.restore(made, *names)
+    return back.select(*names, F.sha2("text", 256).alias("restored_sha256"))
+
+
+def _op13_sql() -> str:
+    plan = fim.Plan()
+    p, s, m = plan.marks
+    held = " OR ".join(f"contains(t, '{x}')" for x in plan.marks)
+    part = "CAST('0x' || substr(hx, {at}, 8) AS UBIGINT)"
+    h1, h2, h3, h4 = (part.format(at=1 + 8 * i) for i in range(4))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
+                  sha256('{plan.seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hx FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[{plan.joined}]+|[^{plan.joined}]') AS us FROM d),
+c AS (SELECT *, len(us) AS n, {h1} % (len(us) + 1) AS c1, {h2} % (len(us) + 1) AS c2,
+             CASE WHEN t = '' OR {held} OR {h3} % 100 >= {plan.transformed} THEN 'plain'
+                  WHEN {h4} % 100 < {plan.spm} THEN 'spm' ELSE 'psm' END AS form FROM u),
+k AS (SELECT doc_id, t, n, form,
+             array_to_string(us[1:CAST(least(c1, c2) AS BIGINT)], '') AS a,
+             array_to_string(us[CAST(least(c1, c2) AS BIGINT) + 1:CAST(greatest(c1, c2) AS BIGINT)], '') AS b,
+             array_to_string(us[CAST(greatest(c1, c2) AS BIGINT) + 1:], '') AS z FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form != 'plain' THEN CAST(length(a) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form != 'plain' THEN CAST(length(b) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '{p}' || a || '{s}' || z || '{m}' || b
+                        ELSE '{s}' || z || '{p}' || a || '{m}' || b END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM k"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_repeated_strings": op2_repeated_strings,
@@ -202,9 +239,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_arc_to_warc": op8_arc_to_warc,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE: dict[str, str] = {
     "op1_secrets": _op1_sql(),
     "op3_quality_rules": _op3_sql(),
+    "op13_fill_in_middle": _op13_sql(),
 }

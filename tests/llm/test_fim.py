@@ -1,0 +1,74 @@
+"""Cuts against a plain scan, and exact round trips."""
+
+import random
+import re
+from hashlib import sha256
+
+from tableops.llm import fim
+from tableops.llm import queries as registered
+from tableops.llm.base import table
+
+SF_DIR = "/root/testdata/sf0.001"
+PLAN = fim.Plan()
+
+
+def plain(text, doc_id):
+    units = re.findall(r"[A-Za-z]+|[^A-Za-z]", text)
+    digest = sha256(f"1:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(digest[i : i + 8], 16) for i in range(0, 32, 8)]
+    n = len(units)
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 90:
+        return n, "plain", text, None, None
+    a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    x, y, z = ("".join(p) for p in (units[:a], units[a:b], units[b:]))
+    if h[3] % 100 < 20:
+        return n, "spm", f"<S>{z}<P>{x}<M>{y}", len(x), len(y)
+    return n, "psm", f"<P>{x}<S>{z}<M>{y}", len(x), len(y)
+
+
+def test_random_texts_and_blocks(monkeypatch):
+    rng = random.Random(3)
+    pool = ["a", "Zz", "word", " ", "\n", "é", "𝔘", "ſ", "K", "<", "<S", "P>", "1", "\x00", "İ"]
+    for block in (1, 2, 7, 1 << 18):
+        monkeypatch.setattr(fim, "_BLOCK", block)
+        for i in range(400):
+            text = "".join(rng.choices(pool, k=rng.randrange(30)))
+            made = fim.cut(text, i, PLAN)
+            want = plain(text, i)
+            assert (made.n, made.form, made.output, made.prefix_chars, made.middle_chars) == want
+            assert fim.rebuilt(made.output, made.form, PLAN) == text
+
+
+def test_marks_and_shares():
+    forms = [fim.cut("some words", i, PLAN).form for i in range(4000)]
+    assert abs(forms.count("plain") / 4000 - 0.1) < 0.02
+    assert abs(forms.count("spm") / (4000 - forms.count("plain")) - 0.2) < 0.03
+    assert all(fim.cut(f"a {m} b", i, PLAN).form == "plain" for m in PLAN.marks for i in range(50))
+    own = fim.Plan(seed=7, transformed=100, spm=0, joined="0-9", prefix="[p]", suffix="[s]", middle="[m]")
+    made = fim.cut("12ab 345<P>", 5, own)
+    assert made.form == "psm" and made.n == 8
+    assert fim.rebuilt(made.output, made.form, own) == "12ab 345<P>"
+
+
+def test_odd_rows(make_docs):
+    rows = [(1, None), (2, ""), (2, ""), (None, "null id"), (3, "x" * 400_000 + " y" * 200_000), (3, "other")]
+    docs = make_docs(rows).withColumnsRenamed({"lang": "output", "source": "form", "n_chars": "n"})
+    made = fim.transform(docs, "doc_id", "text")
+    assert made.columns == ["doc_id", "text", *fim.NAMES]
+    got = sorted(tuple(r)[2:] for r in made.collect())
+    assert got == sorted((plain(t or "", i) for i, t in rows))
+    back = fim.restore(made, "doc_id").collect()
+    assert sorted((str(r.doc_id), r.text) for r in back) == sorted((str(i), t or "") for i, t in rows)
+    assert fim.transform(make_docs([]), "doc_id").collect() == []
+    assert fim.transform(docs, "n", "form").columns == ["n", "form", *fim.NAMES]
+
+
+def test_query(spark):
+    texts = {r.doc_id: r.text or "" for r in table(spark, SF_DIR, "documents").collect()}
+    rows = registered.op13_fill_in_middle(spark, SF_DIR).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        n, form, output, a, b = plain(texts[r.doc_id], r.doc_id)
+        assert (r.n, r.form, r.prefix_chars, r.middle_chars) == (n, form, a, b)
+        assert r.output_sha256 == sha256(output.encode()).hexdigest()
+        assert r.restored_sha256 == sha256(texts[r.doc_id].encode()).hexdigest()
