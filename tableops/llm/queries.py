@@ -19,6 +19,7 @@ from tableops.llm import (
     rules,
     secrets,
     simhash,
+    tokens,
 )
 from tableops.llm.base import fold, fresh_folder, staged, table
 
@@ -192,6 +193,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of every document under the SentencePiece model."""
+    return tokens.count(table(spark, sf_dir, "documents"), pieces.configured(spark), "doc_id")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document taken apart, and put together again from what that gave."""
     made = fim.transform(
@@ -239,6 +245,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_arc_to_warc": op8_arc_to_warc,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
+    "op12_token_counts": op12_token_counts,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
