@@ -16,6 +16,7 @@ from tableops.llm import (
     pii,
     quality,
     repeats,
+    resampling,
     rules,
     secrets,
     simhash,
@@ -193,6 +194,48 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the longer documents, drawn by their likeness to the benchmark."""
+    return resampling.resample(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id"
+    )
+
+
+def _op11_sql() -> str:
+    s = resampling.Settings()
+    word, upper = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '{word}')"
+    h = f"CAST('0x' || substr(sha256('{s.seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS UBIGINT)"
+    return f"""
+WITH d AS (SELECT doc_id, {words} AS ws FROM documents),
+table_of AS (SELECT list_transform(range(256), lambda v: list_reduce(
+       range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, v)) AS crcs),
+own AS (SELECT doc_id, unnest(ws) AS w FROM d),
+target AS (SELECT unnest({words}) AS w FROM benchmark),
+b AS (SELECT w, xor(list_reduce(
+               list_transform(regexp_extract_all(hex(encode(w)), '..'), lambda x: CAST('0x' || x AS BIGINT)),
+               lambda c, x: xor(c >> 8, crcs[(xor(c, x) & 255) + 1]), 4294967295), 4294967295)
+               % {s.buckets} AS bucket
+      FROM (SELECT w FROM own UNION SELECT w FROM target), table_of),
+s AS (SELECT bucket, count(*) AS n FROM own JOIN b USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM target JOIN b USING (w) GROUP BY bucket),
+g AS (SELECT s.bucket, CAST(floor(1000 * ln(
+               CAST(coalesce(t.n, 0) + 1 AS DOUBLE) * CAST((SELECT count(*) FROM own) + {s.buckets} AS DOUBLE)
+               / (CAST(s.n + 1 AS DOUBLE) * CAST((SELECT count(*) FROM target) + {s.buckets} AS DOUBLE))))
+             AS BIGINT) AS gain
+      FROM s LEFT JOIN t USING (bucket)),
+f AS (SELECT doc_id, CAST(floor(sum(gain) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS weight
+      FROM own JOIN b USING (w) JOIN g USING (bucket) GROUP BY doc_id),
+x AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(({h} + 0.5) / 4294967296))) AS BIGINT) AS score
+      FROM d LEFT JOIN f USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM x
+      WHERE n_features >= {s.min_words})
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN rank <= (SELECT {s.percent} * count(*) // 100 FROM r) THEN rank END AS rank
+FROM x LEFT JOIN r USING (doc_id)"""
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tokens of every document under the SentencePiece model."""
     return tokens.count(table(spark, sf_dir, "documents"), pieces.configured(spark), "doc_id")
@@ -245,6 +288,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_arc_to_warc": op8_arc_to_warc,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
+    "op11_resampling": op11_resampling,
     "op12_token_counts": op12_token_counts,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
@@ -252,5 +296,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op1_secrets": _op1_sql(),
     "op3_quality_rules": _op3_sql(),
+    "op11_resampling": _op11_sql(),
     "op13_fill_in_middle": _op13_sql(),
 }
