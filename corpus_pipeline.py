@@ -19,24 +19,35 @@ from tableops.llm.base import staged, table
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _numbered(docs: DataFrame, *used: str) -> tuple[DataFrame, list[str]]:
+    """All columns under numbered names, so that none clashes with what is added, and those ``used``."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    return plain.select(*names, *[F.col(names[docs.columns.index(c)]).alias(c) for c in used]), names
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents whose language can't be told: no letter, or no profile.
+    """Rejects documents whose language can't be told: no letter, or no profile nearer than all others.
 
-    The profiles are learned from the documents' own ``lang``.
+    Text in a script no profile knows is at the greatest distance from each of them. The
+    profiles are learned from the documents' own ``lang``.
     """
-    found = langid.identify(docs, langid.train(docs), *docs.columns)
-    return found.where(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
+    own, names = _numbered(docs, "text", "lang")
+    found = langid.identify(own, langid.train(own), *names)
+    told = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") > 0)
+    return found.where(told).select(*names).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that five-word shingles show to be 0.8 alike."""
-    return simhash.one_of_each(docs, simhash.Scheme.wide(shingle=5, similarity=0.8))
+    """One document of each component of fingerprints (three-word shingles) at three bits or fewer."""
+    return simhash.one_of_each(docs, simhash.Scheme())
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that hold a benchmark item."""
-    found = decontam.matches(docs, table(spark, sf_dir, "benchmark"), *docs.columns)
-    return found.where(F.size("matches") == 0).select(*docs.columns)
+    own, names = _numbered(docs, "text")
+    found = decontam.matches(own, table(spark, sf_dir, "benchmark"), *names)
+    return found.where(F.size("matches") == 0).select(*names).toDF(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
