@@ -12,10 +12,6 @@ radius also visits the next inner ring, which is where every partner it can have
 there lies. Inside a ring a vantage-point tree finds the pairs, leaving out
 branches the triangle inequality rules out. What a task hands on is a spanning
 forest of the links it found, never all pairs.
-
-With more differing bits than segments the segments no longer cover all pairs, and
-the distance only estimates the resemblance. There shards give candidates, and a pair
-is linked by the resemblance of its texts; see ``Scheme.wide`` and ``resembling``.
 """
 
 from __future__ import annotations
@@ -47,8 +43,7 @@ class Scheme:
 
     ``shingle`` words a shingle, ``bits`` a fingerprint, links at ``radius`` differing
     bits or fewer; ``segments`` disjoint bit segments, of which ``agreeing`` make a
-    shard's key. Exact if ``segments - agreeing >= radius``. With ``resemblance`` pairs at
-    up to ``radius + slack`` bits are candidates, and those resembling so far are linked.
+    shard's key. Exact if ``segments - agreeing >= radius``.
     """
 
     shingle: int = 3
@@ -56,8 +51,6 @@ class Scheme:
     radius: int = 3
     segments: int = 4
     agreeing: int = 1
-    slack: int = 0
-    resemblance: float | None = None
 
     @staticmethod
     def exact(nodes: int, shingle: int = 3, radius: int = 3) -> Scheme:
@@ -65,19 +58,6 @@ class Scheme:
         agreeing = 1 if nodes < 1 << 22 else 2 if nodes < 1 << 30 else 3
         return Scheme(shingle, 64, radius, radius + agreeing, agreeing)
 
-    @staticmethod
-    def wide(shingle: int = 5, similarity: float = 0.8) -> Scheme:
-        """512 bits, whose distance estimates shingle resemblance to about 0.04.
-
-        A resemblance J of two equally long texts is a cosine of 2 J / (1 + J), and
-        the share of differing bits is the angle over pi. The radius is the mean distance
-        of a pair at ``similarity``; with 28 bits (3.5 deviations) more and 42 segments
-        of 12 or 13 bits such a pair becomes a candidate with 99.7 % if bits are
-        independent. Candidates are verified, so no pair below is linked.
-        """
-        angle = np.arccos(2 * similarity / (1 + similarity))
-        return Scheme(shingle, 512, int(512 * angle / np.pi), 42, 1, 28, similarity)
-
 
 def _plain(text: str) -> bytes:
     """The words, A-Z in lower case, with a blank between."""
@@ -414,206 +394,24 @@ def near_duplicates(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
     )
 
 
-def resemblance(a: np.ndarray, b: np.ndarray) -> float:
-    """Shared over all shingles of two texts' shingle hashes, each as often as it occurs."""
-    (x, n), (y, m) = (np.unique(h, return_counts=True) for h in (a, b))
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    shared = int(np.minimum(n[i], m[j]).sum())
-    every = len(a) + len(b) - shared
-    return shared / every if every else 1.0
-
-
-def _nearest(prints: np.ndarray, scheme: Scheme) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Each row of a shard with its first other row within the radius, or else within the slack."""
-    n = len(prints)
-    rows = max(1, _LEAF // n)
-    for at in range(0, n, rows):
-        i = np.arange(at, min(at + rows, n))
-        away = distance(prints[i][:, None], prints[None, :])
-        away[i - at, i] = scheme.bits + 1
-        close = away <= scheme.radius
-        close = np.where(close.any(axis=1)[:, None], close, away <= scheme.radius + scheme.slack)
-        some = close.any(axis=1)
-        yield i[some], close.argmax(axis=1)[some]
-
-
-def _across(prints: np.ndarray, labels: np.ndarray, scheme: Scheme):
-    """Pairs of a shard's rows of different labels that are candidates."""
-    values, own = np.unique(labels, return_inverse=True)
-    if len(values) < 2:
-        return
-    few = np.flatnonzero(own != np.bincount(own).argmax())  # one of a pair is not of the largest
-    rows = max(1, _LEAF // len(prints))
-    for at in range(0, len(few), rows):
-        i = few[at : at + rows]
-        near = distance(prints[i][:, None], prints[None, :]) <= scheme.radius + scheme.slack
-        k, j = np.nonzero(near & (own[i][:, None] != own[None, :]))
-        yield i[k], j
-
-
-def _candidates(nodes: DataFrame, scheme: Scheme, labelled: bool) -> DataFrame:
-    """``(a, b)``, ``a < b``: candidates among ``nodes`` (node, fingerprint, label).
-
-    Of each node one a shard, or with ``labelled`` all whose labels differ.
-    """
-    parts = _segment_bits(scheme)
-
-    def sharding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
-                raw = _as_words(batch["fingerprint"], scheme).view(np.uint8)
-                bits = np.unpackbits(raw, axis=1, bitorder="little")
-                for c, part in enumerate(parts):
-                    value = bits[:, part].astype(np.int64) @ (1 << np.arange(part.stop - part.start))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(value * len(parts) + c), *batch.columns], ["shard", *batch.schema.names]
-                    )
-
-    def pairing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(table):
-            shards = table["shard"].to_numpy()
-            prints = _as_words(table["fingerprint"], scheme)
-            ids = np.array(table["node"].to_pylist(), dtype=object)
-            labels = np.array(table["label"].to_pylist(), dtype=object)
-            edges = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1], True])
-            found = set()
-            for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if high - low > 1:
-                    own = prints[low:high]
-                    some = _across(own, labels[low:high], scheme) if labelled else _nearest(own, scheme)
-                    for i, j in some:
-                        found.update(zip(ids[low + np.minimum(i, j)], ids[low + np.maximum(i, j)], strict=True))
-                if len(found) > 1 << 16 or high == edges[-1]:
-                    a, b = zip(*found, strict=True) if found else ((), ())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"]
-                    )
-                    found = set()
-
-        held: list[pa.RecordBatch] = []  # the last shard may go on
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            shards = batch["shard"].to_numpy(False)
-            cut = int(np.searchsorted(shards, shards[-1]))
-            if held and shards[0] != held[-1]["shard"][-1].as_py() or cut:
-                yield from made(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held = []
-            held.append(batch.slice(cut))
-        if held:
-            yield from made(pa.Table.from_batches(held))
-
-    shape = "node binary, fingerprint binary, label binary"
-    return (
-        nodes.select("node", "fingerprint", "label")
-        .mapInArrow(sharding, f"shard long, {shape}")
-        .repartition("shard")
-        .sortWithinPartitions("shard", "node")  # so that the first of a group is one node in all shards
-        .mapInArrow(pairing, "a binary, b binary")
-        .distinct()
-    )
-
-
-def _verified(pairs: DataFrame, bodies: DataFrame, scheme: Scheme) -> DataFrame:
-    """The ``pairs`` whose ``bodies`` (node, text) resemble each other far enough."""
-    a, b = (bodies.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-
-    def checking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: dict[str, tuple[str, np.ndarray]] = {"a": ("", np.zeros(0, np.uint64))}
-        last["b"] = last["a"]
-
-        def hashed(side, text):
-            if last[side][0] != text:
-                last[side] = text, shingle_hashes(text, scheme.shingle)
-            return last[side][1]
-
-        for whole in batches:
-            for batch in slices([whole], "text_b"):
-                alike = [
-                    resemblance(hashed("a", x.as_py()), hashed("b", y.as_py())) >= scheme.resemblance
-                    for x, y in zip(batch["text_a"], batch["text_b"], strict=True)
-                ]
-                yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
-
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(checking, "a binary, b binary")
-
-
-def _noded(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """``(doc_id, text_hash, node, fingerprint)``: texts of the same words are one node."""
-    plain, kept, fields = texts(docs, "doc_id", "text_hash")
-
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            own = batch["text"].to_pylist()
-            ids = [xxhash.xxh3_128_digest(_plain(t)) for t in own]
-            prints = [fingerprint(t, scheme).tobytes() for t in own]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch[k] for k in kept), pa.array(ids, pa.binary()), pa.array(prints, pa.binary())],
-                [*kept, "node", "fingerprint"],
-            )
-
-    return plain.mapInArrow(marked, fields + "node binary, fingerprint binary").toDF(
-        "doc_id", "text_hash", "node", "fingerprint"
-    )
-
-
-def resembling(prints: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """``(node, root)`` of every node of ``prints`` linked to another, over verified links.
-
-    First each node is checked against one candidate a shard. Then candidates in
-    different components are checked, all of them, so that a large group of near copies
-    needs few pairs and no candidate between groups is left out.
-    """
-    key = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("key")
-    nodes = staged(
-        prints.groupBy("node").agg(F.min("fingerprint").alias("fingerprint"), key), "resembling-nodes"
-    )
-    pairs = staged(
-        _candidates(nodes.withColumn("label", F.col("node")), scheme, labelled=False), "resembling-pairs"
-    )
-    both = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    near = staged(nodes.join(both, "node"), "resembling-near")
-    wanted = near.select("node", F.col("key.doc_id").alias("own_id"), F.col("key.text_hash").alias("own_hash"))
-    bodies = staged(
-        docs.select("doc_id", "text_hash", F.coalesce("text", F.lit("")).alias("text"))
-        .join(wanted, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")))
-        .dropDuplicates(["node"])
-        .select("node", "text"),
-        "resembling-texts",
-    )
-    first = staged(_verified(pairs, bodies, scheme), "resembling-links")
-    roots = components(first, "resembling-first")
-    labels = near.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
-    rest = staged(_candidates(labels, scheme, labelled=True), "resembling-across")
-    second = staged(_verified(rest, bodies, scheme), "resembling-links")
-    return components(first.union(second), "resembling") if not second.isEmpty() else roots
-
-
-def one_of_each(docs: DataFrame, scheme: Scheme) -> DataFrame:
+def one_of_each(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
     """The rows of ``docs`` less near-duplicates: of each component the smallest ``doc_id`` stays.
 
     Equal ids are decided by the text's hash; rows equal in both are one document.
-    A null id gives way to any other.
+    A null id gives way to any other. Without a scheme fingerprints of three-word shingles
+    link at three bits, as in ``near_duplicates``.
     """
     hashed = F.xxhash64(F.coalesce("text", F.lit("")))
     narrow = docs.select("doc_id", "text", hashed.alias("text_hash"))
     key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
-    if scheme.resemblance is None:
-        prints = staged(fingerprints(narrow, scheme, "doc_id", "text_hash"), "fingerprints")
-        first = prints.groupBy("fingerprint").agg(F.min(key).alias("key"))
-        rooted = first.join(groups(prints, scheme), "fingerprint")
-    else:
-        prints = staged(_noded(narrow, scheme), "fingerprints")
-        first = prints.groupBy("node").agg(F.min(key).alias("key"))
-        rooted = first.join(resembling(prints, narrow, scheme), "node", "left").withColumn(
-            "root", F.coalesce("root", "node")
-        )
-    stay = (
-        rooted.groupBy("root")
+    prints = staged(fingerprints(narrow, scheme or Scheme(), "doc_id", "text_hash"), "fingerprints")
+    first = prints.groupBy("fingerprint").agg(F.min(key).alias("key"))
+    stay = staged(
+        first.join(groups(prints, scheme), "fingerprint")
+        .groupBy("root")
         .agg(F.min("key").alias("key"))
-        .select(F.col("key.doc_id").alias("stay_id"), F.col("key.text_hash").alias("stay_hash"))
+        .select(F.col("key.doc_id").alias("stay_id"), F.col("key.text_hash").alias("stay_hash")),
+        "one-of-each",
     )
     whole = docs.select(
         F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), hashed.alias("own_hash")

@@ -4,26 +4,17 @@ import re
 from collections import Counter
 
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tableops.llm import langid, pieces, secrets, simhash
+from tableops.llm import langid, pieces, secrets
 from tableops.llm.base import table
 from tests.llm.test_decontam import plain as leaks
+from tests.llm.test_simhash import plain_components, plain_print
 
 SF_DIR = "/root/testdata/sf0.001"
 
 
-def near_groups(texts, scheme):
-    prints = [simhash.fingerprint(t, scheme) for t in texts]
-    group = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if simhash.distance(prints[i], prints[j]) <= scheme.radius and group[i] != group[j]:
-                a, b = sorted((group[i], group[j]))
-                group = [a if g == b else g for g in group]
-    return group
-
-
 def live(docs):
     def values(text):
         for kind in secrets.KINDS:
@@ -33,16 +24,17 @@ def live(docs):
                     yield m.span(), value, kind.base
 
     found = {d.doc_id: list(values(d.text)) for d in docs}
-    owners = {}
+    owners, repositories = {}, {}
     for d in docs:
         for _, value, _ in found[d.doc_id]:
             owners.setdefault(value, set()).add(d.source)
+            repositories.setdefault(value, set()).add((d.source, d.lang))
     out = set()
     for i, spans in found.items():
         base = [s for s, _, b in spans if b]
         for (a, z), value, is_base in spans:
             apart = is_base or not any(s < z and a < e for s, e in base)
-            if apart and len(owners[value]) <= 2:
+            if apart and len(owners[value]) <= 2 and len(repositories[value]) <= 4:
                 out.add(i)
     return out
 
@@ -50,9 +42,12 @@ def live(docs):
 def test_pipeline(spark):
     docs = sorted(table(spark, SF_DIR, "documents").collect(), key=lambda d: d.doc_id)
     items = [tuple(r) for r in table(spark, SF_DIR, "benchmark").collect()]
-    stay = [d for d in docs if any(c.isalpha() for c in d.text or "")]
-    groups = near_groups([d.text for d in stay], simhash.Scheme.wide())
-    stay = [d for k, d in enumerate(stay) if groups.index(groups[k]) == k]
+    told = langid.identify(table(spark, SF_DIR, "documents"), langid.train(table(spark, SF_DIR, "documents")), "doc_id")
+    told = {r.doc_id for r in told.where("score > 0").collect()}
+    stay = [d for d in docs if any(c.isalpha() for c in d.text or "") and d.doc_id in told]
+    ids = [d.doc_id for d in stay]
+    heads = plain_components(ids, [plain_print(d.text) for d in stay])
+    stay = [d for d, head in zip(stay, heads, strict=True) if d.doc_id == head]
     stay = [d for d in stay if not leaks(d.text, items)]
     stay = [d for d in stay if d.doc_id not in live(stay)]
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_FILE)
@@ -75,25 +70,21 @@ def test_stages_take_odd_rows(spark, make_docs, tmp_path):
     )
     got = Counter(r.doc_id for r in corpus_pipeline.run(spark, folder).collect())
     assert got == Counter([4, 7])
-    docs = table(spark, folder, "documents")
+    docs = table(spark, folder, "documents").withColumns({c: F.lit(1) for c in ("score", "lang_pred", "matches")})
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, folder).columns == docs.columns
         assert stage(spark, docs.where("false"), folder).collect() == []
     assert langid.train(docs.where("false")).langs == ()
 
 
-def test_near_duplicates_by_exact_resemblance(spark):
-    """One document stays of each component of pairs at 0.8 or more, and no other is dropped."""
-    docs = sorted(table(spark, SF_DIR, "documents").collect(), key=lambda d: d.doc_id)
-    hashed = [simhash.shingle_hashes(d.text or "", 5).tolist() for d in docs]
-    group = list(range(len(docs)))
-    for i in range(len(docs)):
-        for j in range(i):
-            x, y = Counter(hashed[i]), Counter(hashed[j])
-            every = sum((x | y).values())
-            if (not every or sum((x & y).values()) / every >= 0.8) and group[i] != group[j]:
-                a, b = sorted((group[i], group[j]))
-                group = [a if g == b else g for g in group]
-    want = [d.doc_id for k, d in enumerate(docs) if group.index(group[k]) == k]
-    got = corpus_pipeline.near_duplicates(spark, table(spark, SF_DIR, "documents"), SF_DIR)
-    assert sorted(r.doc_id for r in got.collect()) == want
+def test_unseen_scripts_and_ties_are_rejected(spark, make_docs):
+    rows = [(i, f"the quick brown fox number {i} jumps", "en") for i in range(20)]
+    rows += [(50 + i, f"der schnelle braune fuchs nummer {i} springt", "de") for i in range(20)]
+    rows += [(100, "Быстрая лиса прыгает", "en"), (101, "Быстрая лиса", None), (102, "語語語", None), (103, "12 34", None)]
+    docs = make_docs([(*r, None) for r in rows])
+    seen = docs.where("doc_id < 100")
+    profiles = langid.train(seen)
+    got = langid.identify(docs, profiles, "doc_id").where("score > 0 AND lang_pred != 'und'")
+    assert {r.doc_id for r in got.collect()} == {r[0] for r in rows if r[0] < 100}
+    kept = corpus_pipeline.language_id(spark, docs.where("doc_id != 100"), "")
+    assert {r.doc_id for r in kept.collect()} == {r[0] for r in rows if r[0] < 100}

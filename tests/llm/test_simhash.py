@@ -1,7 +1,6 @@
 """Fingerprints and components against a plain version of the definition."""
 
 import random
-from collections import Counter
 
 import numpy as np
 import pytest
@@ -112,47 +111,6 @@ def test_one_of_each(spark, make_docs):
     other = [rng.choice(words) for _ in range(400)]
     rows = [(7, " ".join(long)), (4, " ".join(near)), (5, " ".join(other)), (5, " ".join(other)), (None, " ".join(long)), (1, None), (2, "")]
     docs = make_docs(rows).withColumnsRenamed({"n_chars": "text_hash", "source": "fingerprint"})
-    got = simhash.one_of_each(docs, simhash.Scheme.wide())
+    got = simhash.one_of_each(docs)
     assert got.columns == docs.columns
     assert sorted(r.doc_id for r in got.collect()) == [1, 4, 5]
-
-
-def test_wide_distance_estimates_resemblance():
-    scheme = simhash.Scheme.wide()
-    rng = random.Random(5)
-    base = [str(rng.random()) for _ in range(500)]
-    for changed, linked in ((2, True), (8, True), (80, False)):
-        other = list(base)
-        for i in range(changed):
-            other[(i * 500) // changed] = f"new{i}"
-        a, b = (simhash.fingerprint(" ".join(w), scheme) for w in (base, other))
-        assert (simhash.distance(a, b) <= scheme.radius) == linked
-
-
-def plain_resemblance(a, b, n=5):
-    x, y = (Counter(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) for w in (a.split(), b.split()))
-    return sum((x & y).values()) / sum((x | y).values())
-
-
-def test_resembling_texts_by_brute_force(spark, make_docs):
-    """Pairs on either side of 0.8, and a group of many near copies beside one just below it."""
-    rng = random.Random(11)
-    texts = []
-    for k in range(120):
-        base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
-        other = list(base)
-        for i in rng.sample(range(0, 300, 6), 4 + k % 8):
-            other[i] = f"new{rng.random()}"
-        texts += [" ".join(base), " ".join(other)]
-    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
-    for k in range(100):
-        copy = list(base)
-        copy[rng.randrange(300)] = f"copy{k}"
-        if k % 2:
-            copy[0:80:5] = [f"far{i}" for i in range(16)]
-        texts.append(" ".join(copy))
-    links = [(i, j) for i in range(len(texts)) for j in range(i) if plain_resemblance(texts[i], texts[j]) >= 0.8]
-    root = simhash._forest(len(texts), *np.array(links).T)
-    want = sorted(set(root.tolist()))
-    got = simhash.one_of_each(make_docs(list(enumerate(texts))), simhash.Scheme.wide())
-    assert sorted(r.doc_id for r in got.collect()) == want
