@@ -37,6 +37,8 @@ _KNOWN = 400_000
 _INDEXED = 400_000
 #: Characters up to which chunks are relaxed side by side.
 _ABREAST = 64
+#: Stands between chunks; no character has this number.
+_BETWEEN = 0x110000
 
 
 @dataclass(frozen=True)
@@ -197,12 +199,16 @@ def _edges(chunks: list[str], vocabulary: Vocabulary) -> tuple[np.ndarray, np.nd
     Places count the characters of ``"\\n".join(chunks)``-like text with one separator
     after each chunk. Characters of no piece get an edge of their own.
     """
-    # the separator is a noncharacter no piece holds; characters are numbered densely
-    codes = np.frombuffer("﷐".join([*chunks, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    # the separator is a number beyond all characters, which are numbered densely
+    sizes = np.array([len(c) for c in chunks], dtype=np.int64)
+    codes = np.full(int(sizes.sum()) + len(chunks), _BETWEEN, dtype=np.uint32)
+    inside = np.ones(len(codes), dtype=bool)
+    inside[np.cumsum(sizes + 1) - 1] = False
+    codes[inside] = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
     alphabet = np.unique(codes)
-    wide = len(alphabet) > 253
-    kind = np.dtype(">u2") if wide else np.dtype("u1")
-    top = 0xFFFF if wide else 0xFF
+    width = 1 if len(alphabet) < 0xFF else 2 if len(alphabet) < 0xFFFF else 4
+    kind = np.dtype(f">u{width}")
+    top = (1 << 8 * width) - 1
     dense = (np.searchsorted(alphabet, codes) + 1).astype(kind)
     longest = vocabulary.longest
     padded = np.r_[dense, np.zeros(longest, kind)].astype(kind)
@@ -233,7 +239,7 @@ def _edges(chunks: list[str], vocabulary: Vocabulary) -> tuple[np.ndarray, np.nd
     pieces = np.repeat(vocabulary.ids[which], many).astype(np.int32)
     own = np.zeros(len(codes), dtype=bool)
     own[starts[lengths == 1]] = True
-    odd = np.flatnonzero(~own & (codes != 0xFDD0)).astype(np.int32)
+    odd = np.flatnonzero(~own & inside).astype(np.int32)
     return (
         np.r_[starts, odd],
         np.r_[lengths, np.ones(len(odd), np.int32)],

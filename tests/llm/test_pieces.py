@@ -47,6 +47,20 @@ def test_random_texts(model, library):
     assert [vocabulary.decode(x) for x in want] == library.decode(want)
 
 
+def test_every_character(model, library):
+    """Noncharacters, all planes, and more characters in one index than 16 bits can number."""
+    encoder = pieces.Encoder(pieces.Vocabulary(model))
+    rng = random.Random(4)
+    planes = [*range(0x20, 0xD800), *range(0xE000, 0x110000)]
+    texts = ["a\ufdd0", "\ufdd0", "x \ufdd0\ufffe y\ufdd0", "\U0010ffff b"]
+    texts += ["".join(map(chr, rng.choices(planes, k=60))) for _ in range(300)]
+    texts.append(" ".join(map(chr, range(0x10000, 0x10000 + 90_000))) + " the same words the")
+    for batch in (texts, texts[:4], texts[-1:]):
+        got = [np.frombuffer(x, np.int32).tolist() for x in encoder(batch)]
+        assert got == library.encode(batch)
+        encoder.known.clear()
+
+
 def test_indexing_in_parts_and_forgetting(model, library, monkeypatch):
     monkeypatch.setattr(pieces, "_INDEXED", 30)
     monkeypatch.setattr(pieces, "_KNOWN", 5)
