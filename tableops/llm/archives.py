@@ -35,9 +35,13 @@ ARC_FIELDS = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename "
     "Archive-length",
 }
+_VERSION_BLOCK = re.compile(rb"([12]) \d+ [^\n]*\nURL IP-address ")
 WARC_VERSION = "WARC/1.1"
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
+#: Level of gzip, as Hadoop names it. ``BEST_COMPRESSION`` takes several times the CPU.
+FAST = "BEST_SPEED"
+
 _BATCH_BYTES = 4 << 20
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
@@ -50,6 +54,7 @@ class ArcRecord:
     date: str
     mime: str
     block: bytes
+    describes: bool = False  # a version block
 
 
 def sha1_base32(data: bytes) -> str:
@@ -57,8 +62,9 @@ def sha1_base32(data: bytes) -> str:
 
 
 def _field(value: str | None, empty: str = "-") -> str:
-    """One field of a header line: no white space, never empty."""
-    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", value or "") or empty
+    """One field of a header line: no white space, never empty, never that of a version block."""
+    plain = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", value or "") or empty
+    return f"%66{plain[1:]}" if plain.startswith("filedesc://") else plain
 
 
 def arc_version_block(version: int, name: str, date: str) -> bytes:
@@ -81,10 +87,12 @@ def arc_record(
 def read_arc(stream: io.BufferedIOBase) -> Iterator[ArcRecord]:
     """The records of an unpacked ARC stream, version blocks included.
 
-    A stream may hold several archives one after the other. Empty lines between
+    A stream may hold several archives one after the other. A version block is known by its
+    place, at the start or where the line has its address and the block its form; a page of
+    such an address is a page. Empty lines between
     records are skipped. A record cut short or a line that does not fit the version is an error.
     """
-    version = 1
+    version, first = 1, True
     while line := stream.readline():
         if line in (b"\n", b"\r\n"):
             continue
@@ -93,11 +101,15 @@ def read_arc(stream: io.BufferedIOBase) -> Iterator[ArcRecord]:
         block = stream.read(length)
         if len(block) < length:
             raise ValueError(f"ARC record cut short: {parts[0]}")
-        if parts[0].startswith("filedesc://"):
-            version = int(block.split(b" ", 1)[0])
+        described = _VERSION_BLOCK.match(block) if parts[0].startswith("filedesc://") else None
+        if first and described is None:
+            raise ValueError(f"no ARC version block: {line[:200]!r}")
+        first = False
+        if described:
+            version = int(described[1])
         if len(parts) != len(ARC_FIELDS[version].split(" ")):
             raise ValueError(f"not a header line of ARC version {version}: {line[:200]!r}")
-        yield ArcRecord(version, parts[0], parts[1], parts[2], parts[3], block)
+        yield ArcRecord(version, parts[0], parts[1], parts[2], parts[3], block, described is not None)
 
 
 def split_http(block: bytes) -> tuple[bytes, bytes]:
@@ -108,10 +120,11 @@ def split_http(block: bytes) -> tuple[bytes, bytes]:
     return (block, b"") if end < 0 else (block[: end + 4], block[end + 4 :])
 
 
-def warc_type(url: str) -> str:
-    if url.startswith("filedesc://"):
+def warc_type(record: ArcRecord) -> str:
+    """Blocks with an HTTP head are responses, whatever the address; others, as of dns, resources."""
+    if record.describes:
         return "warcinfo"
-    return "response" if re.match("https?:", url, re.IGNORECASE) else "resource"
+    return "response" if record.block[:5] == b"HTTP/" else "resource"
 
 
 def warc_date(arc_date: str) -> str:
@@ -189,6 +202,7 @@ def write_arc(
     url: str = "url",
     html: str = "html",
     date: str = "20240101000000",
+    level: str = FAST,
 ) -> None:
     """A gzipped ARC file for each partition of ``pages``, of version 1 and 2 in turn.
 
@@ -229,7 +243,7 @@ def write_arc(
         rows.mapInArrow(written, "value binary")
         .select(F.col("value").cast("string").alias("value"))
         .write.option("lineSep", "\n")
-        .option("compression", "gzip")
+        .options(compression="gzip", **{"zlib.compress.level": level})
         .text(path)
     )
 
@@ -272,7 +286,7 @@ def arc_records(spark: SparkSession, path: str, blocks: bool = True) -> DataFram
         def records():
             for _, stream in _blobs(batches):
                 for r in read_arc(stream):
-                    kind = warc_type(r.url)
+                    kind = warc_type(r)
                     if kind == "warcinfo":
                         continue
                     head, payload = split_http(r.block)
@@ -312,7 +326,9 @@ def originals(records: DataFrame, min_bytes: int = 0) -> DataFrame:
     )
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = 0) -> None:
+def convert(
+    spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = 0, level: str = FAST
+) -> None:
     """ARC files to gzipped WARC files of responses and revisits.
 
     A revisit holds the HTTP head only and names the response with the same payload.
@@ -348,7 +364,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int =
         rows.mapInArrow(written, "value binary")
         .select(F.col("value").cast("string").alias("value"))
         .write.option("lineSep", "\r\n\r\n")
-        .option("compression", "gzip")
+        .options(compression="gzip", **{"zlib.compress.level": level})
         .text(warc_path)
     )
 
