@@ -35,7 +35,7 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return found.select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"),
-        "spans", "n_bare", "n_live", "n_example",
+        "spans", "n_bare", "n_live", "n_example", "most_held",
     )
 
 
@@ -57,20 +57,20 @@ WHERE length(v) >= {k.least}{fits}""")
     return f"""
 WITH d AS (SELECT doc_id, source, concat_ws('/', source, lang) AS repo, coalesce(text, '') AS t FROM documents),
 c AS ({" UNION ALL ".join(parts)}),
-f AS (SELECT v, count(DISTINCT source) AS owners FROM c GROUP BY v),
-j AS (SELECT c.*, owners <= 2 AS live, c.name || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT) AS tag
+f AS (SELECT v, count(DISTINCT source) AS owners, count(DISTINCT repo) AS repos FROM c GROUP BY v),
+j AS (SELECT c.*, repos, owners <= 2 AND repos <= 4 AS live, c.name || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT) AS tag
       FROM c JOIN f USING (v)
-      WHERE kind < 3 OR (owners <= 2 AND NOT EXISTS (
+      WHERE kind < 3 OR (owners <= 2 AND repos <= 4 AND NOT EXISTS (
             SELECT 1 FROM c AS b WHERE b.doc_id = c.doc_id AND b.kind < 3 AND b.s < c.e AND c.s < b.e))),
 g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
              count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind = 3) AS n_bare,
-             count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example,
+             count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example, max(repos) AS most_held,
              string_agg(tag, ',' ORDER BY s, kind) FILTER (kind < 3) AS base,
              string_agg(tag, ',' ORDER BY s, kind) AS spans FROM j GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
        coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
        coalesce(spans, '') AS spans, coalesce(n_bare, 0) AS n_bare, coalesce(n_live, 0) AS n_live,
-       coalesce(n_example, 0) AS n_example
+       coalesce(n_example, 0) AS n_example, coalesce(most_held, 0) AS most_held
 FROM documents LEFT JOIN g USING (doc_id)"""
 
 

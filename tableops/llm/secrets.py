@@ -2,7 +2,8 @@
 
 Patterns give candidate spans. Every candidate's value is hashed, and each hash is
 counted by the distinct owners and repositories that hold it: an example key that
-is widely copied has many owners, a live credential has one or two. The counts are
+is widely copied has many owners, or few with many repositories, a live credential is in a few
+repositories of one or two. The counts are
 summed by (hash, owner, repository) before hashes are shuffled, so a value that a
 third of all documents repeat arrives as a row per map task and owner.
 """
@@ -129,12 +130,15 @@ def scan(
     owner: Column | None = None,
     repository: Column | None = None,
     most_owners: int = 2,
+    most_repositories: int = 4,
 ) -> DataFrame:
     """One row per row of ``docs``: its ``keep`` columns and its secrets.
 
     ``spans`` lists every span that is a secret by pattern and, of the bare runs that
-    overlap none of them, those with at most ``most_owners`` owners. ``n_live`` and
-    ``n_example`` split all of them by ownership. Null and empty texts have none.
+    overlap none of them, the live-looking. A value looks live if at most ``most_owners``
+    owners and ``most_repositories`` repositories hold it; ``n_live`` and
+    ``n_example`` split all spans so. ``most_held`` is the number of repositories of the most
+    widely copied value. Null and empty texts have none.
     """
     owner = F.col("source") if owner is None else owner
     repository = owner if repository is None else repository
@@ -152,7 +156,9 @@ def scan(
             & (F.col("after").isNull() | (F.col("after") >= F.col("end")))
         )
         .join(ownership(spans), "hash")
-        .withColumn("live", F.col("n_owners") <= most_owners)
+        .withColumn(
+            "live", (F.col("n_owners") <= most_owners) & (F.col("n_repositories") <= most_repositories)
+        )
         .where(base | F.col("live"))
     )
     names = F.array(*[F.lit(k.name) for k in KINDS])
@@ -167,9 +173,10 @@ def scan(
             ],
             F.count(F.when(F.col("live"), 1)).alias("n_live"),
             F.count(F.when(~F.col("live"), 1)).alias("n_example"),
+            F.max("n_repositories").alias("most_held"),
         )
     )
-    counts = [f"n_{k.name}" for k in KINDS] + ["n_live", "n_example"]
+    counts = [f"n_{k.name}" for k in KINDS] + ["n_live", "n_example", "most_held"]
     tags = lambda xs: F.array_join(F.transform(xs, lambda x: x["tag"]), ",")
     return (
         rows.select("row", *[F.col(f"k{i}") for i in range(len(keep))])

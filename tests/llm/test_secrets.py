@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from tableops.llm import secrets
 
 
@@ -62,6 +64,19 @@ def test_ownership_counts_distinct_owners_and_repositories(spark):
     assert got == {"h": (2, 3, 4), "g": (1, 1, 1)}
 
 
+def test_many_repositories_of_one_owner_make_an_example(make_docs):
+    value = "token=abcdefgh1234"
+    rows = [(i, value, f"r{i}", "one") for i in range(5)] + [(9, "token=zyxwvuts9876", "r0", "one")]
+    rows += [(10 + i, "x Zz9_aaaaaaaaaaaaaaaaaaaaaa y", f"r{i}", "one") for i in range(5)]
+    docs = make_docs(rows)
+    repository = F.concat_ws("/", "source", "lang")
+    for most, live in ((4, {9}), (5, {r[0] for r in rows})):
+        got = secrets.scan(docs, "doc_id", repository=repository, most_repositories=most).collect()
+        assert {r.doc_id for r in got if r.n_live} == live
+        assert {r.doc_id: r.most_held for r in got}[0] == 5
+        assert [r.n_bare for r in got if r.doc_id >= 10] == [int(most == 5)] * 5
+
+
 def test_empty_table(make_docs):
     assert secrets.scan(make_docs([]), "doc_id").collect() == []
 
