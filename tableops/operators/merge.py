@@ -160,35 +160,19 @@ def merge_latest(
     return out.drop(_SIDE)
 
 
-def changed_rows(base: DataFrame, delta: DataFrame, keys: list[str], ts: str) -> DataFrame:
-    """The latest row of each key of ``delta`` that is newer than the key's row in ``base``.
+def row_content(df: DataFrame, columns: list[str]) -> Column:
+    """Two 64-bit hashes of ``columns`` of a row; columns without an order count as JSON."""
+    cells = [F.col(c) if _sortable(df.schema[c].dataType) else F.to_json(F.struct(c)) for c in columns]
+    nulls = F.concat(*[F.col(c).isNull().cast("string") for c in columns])
+    return F.struct(F.xxhash64(*cells, nulls).alias("one"), F.xxhash64(nulls, *cells).alias("two"))
 
-    ``base`` has one row per key. At the same time a row counts if any column
-    differs; columns without an order, such as maps, are compared as JSON. Only keys,
-    times and a hash of ``base`` are read and moved.
-    """
-    latest = latest_rows(delta, keys, ts, ties="one")
-    shared = [c for c in latest.columns if c in base.columns]
-
-    def content(df: DataFrame) -> Column:
-        columns = [
-            F.col(c) if _sortable(df.schema[c].dataType) else F.to_json(F.struct(c)) for c in shared
-        ]
-        nulls = F.concat(*[F.col(c).isNull().cast("string") for c in shared])
-        return F.struct(F.xxhash64(*columns, nulls), F.xxhash64(nulls, *columns))
-
-    known = base.select(
-        *keys, event_time(base, ts).alias(_TIME), content(base).alias(_SIDE), F.lit(1).alias(_RANK)
-    )
-    time, own = event_time(latest, ts), content(latest)
-    rows = latest.withColumns({"__delta_time": time, "__delta_side": own}).join(known, keys, "left")
-    news = (
-        F.col(_RANK).isNull()
-        | F.col(_TIME).isNull()
-        | (F.col(_TIME) < F.col("__delta_time"))
-        | ((F.col(_TIME) == F.col("__delta_time")) & (F.col(_SIDE) != F.col("__delta_side")))
-    )
-    return rows.where(news).select(*delta.columns)
+
+def content_summary(df: DataFrame) -> tuple[int, str]:
+    """The number of rows and a text that depends on all they hold, in whatever order."""
+    content = row_content(df, df.columns)
+    sums = [F.sum(content[part].cast("decimal(20,0)")).cast("string") for part in ("one", "two")]
+    n, one, two = df.agg(F.count(F.lit(1)), *sums).first()
+    return n, f"{one}/{two}"
 
 
 def upsert_newer(
@@ -197,7 +181,7 @@ def upsert_newer(
     """``merge_latest(ties="one")`` for a base that needs no reduction.
 
     Holds when ``base`` has one row per key, without null keys or times, and no
-    row of ``delta`` is older than its key's row in ``base`` (see ``changed_rows``):
+    row of ``delta`` is older than its key's row in ``base``:
     then every delta key simply replaces its base row. The base is read once and filtered by an
     anti-join, not ranked: a delta small enough for Spark's own broadcast limit
     leaves it unshuffled, and a base bucketed on ``keys`` (``buckets``, the

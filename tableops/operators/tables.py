@@ -110,7 +110,7 @@ def recover_table(spark: SparkSession, name: str) -> bool:
 def rename_table(spark: SparkSession, name: str, new_name: str) -> None:
     """Rename a table; catalogs that keep the old folders of its partitions learn the new ones."""
     spark.sql(f"ALTER TABLE {quoted(name)} RENAME TO {quoted(new_name)}")
-    if any(c.isPartition for c in spark.catalog.listColumns(quoted(new_name))):
+    if is_partitioned(spark, new_name):
         spark.sql(f"MSCK REPAIR TABLE {quoted(new_name)} SYNC PARTITIONS")
     spark.catalog.refreshTable(new_name)
 
@@ -164,16 +164,8 @@ def overwrite_partitions(df: DataFrame, name: str, by: str) -> DataFrame:
     return spark.table(name)
 
 
-def replace_partitions(df: DataFrame, name: str, by: str) -> DataFrame:
-    """``overwrite_partitions`` with rows that may be read from ``name`` itself.
-
-    They are written to a staging table first, partitioned alike.
-    """
-    spark, staging = df.sparkSession, f"{name}_staged"
-    drop_table(spark, staging)
-    overwrite_partitions(create_table(df, staging), name, by)
-    drop_table(spark, staging)
-    return spark.table(name)
+def is_partitioned(spark: SparkSession, name: str) -> bool:
+    return any(c.isPartition for c in spark.catalog.listColumns(quoted(name)))
 
 
 def table_location(spark: SparkSession, name: str) -> str:

@@ -33,9 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[app]
 
 
-def hadoop_path(spark: SparkSession, path: str):
-    """``(file system, path)`` of the JVM's Hadoop client for ``path``."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+def hadoop_path(spark: SparkSession, path: str, is_uri: bool = False):
+    """``(file system, path)`` of the JVM's Hadoop client for ``path``, as written or as a URI."""
+    jvm = spark._jvm
+    jpath = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path) if is_uri else path)
     return jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), jpath
 
 
@@ -50,6 +51,36 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jpath)
 
 
-def delete_path(spark: SparkSession, path: str) -> bool:
-    fs, jpath = hadoop_path(spark, path)
+def delete_path(spark: SparkSession, path: str, is_uri: bool = False) -> bool:
+    fs, jpath = hadoop_path(spark, path, is_uri)
     return fs.delete(jpath, True)
+
+
+def move_path(spark: SparkSession, path: str, to: str) -> None:
+    """Move a file, making the folder it goes to."""
+    fs, jpath = hadoop_path(spark, path)
+    _, jto = hadoop_path(spark, to)
+    fs.mkdirs(jto.getParent())
+    if not fs.rename(jpath, jto):
+        raise OSError(f"{path} can't be moved to {to}")
+
+
+def write_small_text(spark: SparkSession, path: str, text: str) -> None:
+    """One file that is there as a whole or not at all: written beside, then renamed."""
+    fs, jpath = hadoop_path(spark, path)
+    _, beside = hadoop_path(spark, f"{path}.part")
+    out = fs.create(beside, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    move_path(spark, f"{path}.part", path)
+
+
+def read_small_text(spark: SparkSession, path: str) -> str:
+    fs, jpath = hadoop_path(spark, path)
+    stream = fs.open(jpath)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()

@@ -1,0 +1,246 @@
+"""Merges that read and write only the files they touch, and passes that read none."""
+
+import json
+import os
+import uuid
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from tableops.operators import tables
+from tableops.operators.merge import content_summary, merge_latest
+from tableops.plans import filewise, replicate
+from tableops.sources import jdbc
+from tableops.sources.files import inventory
+
+SCHEMA = "id long, updated_at timestamp_ntz, status string"
+T = [datetime(2024, 1, d, 0, 0, 0, 250000) for d in range(1, 29)]
+
+
+@pytest.fixture()
+def source():
+    return jdbc.JdbcSource(
+        f"jdbc:derby:memory:f{uuid.uuid4().hex};create=true",
+        driver="org.apache.derby.jdbc.EmbeddedDriver",
+    )
+
+
+@pytest.fixture()
+def many_files(spark):
+    """Shuffles into 50 files, however small."""
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def put(df, source, mode="append", schema=SCHEMA):
+    (
+        df.write.format("jdbc")
+        .options(**source.properties())
+        .option("url", source.url)
+        .option("dbtable", "orders")
+        .option("createTableColumnTypes", "status VARCHAR(32)")
+        .mode(mode)
+        .save()
+    )
+
+
+def listed(spark, name):
+    return {r.path for r in inventory(spark, tables.table_location(spark, name)).collect()}
+
+
+def values(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def passes(spark, source, db, **options):
+    args = (spark, source, "orders", db, ["id"], "updated_at", "_pg")
+    return lambda: replicate.incremental_replicate(*args, **options)
+
+
+def test_few_changes_write_few_files(spark, db, source, many_files):
+    """0.1 % of the keys, neighbours, change: under 5 % of the files are written again."""
+    rows = spark.range(20_000).select(
+        "id", (F.lit(T[0]) + F.make_dt_interval(secs=F.col("id"))).alias("updated_at"), F.lit("a").alias("status")
+    )
+    put(rows, source)
+    run = passes(spark, source, db, cluster=True)
+    run()
+    run()
+    before = listed(spark, f"{db}.orders_pg")
+    assert len(before) > 40
+    put(spark.range(500, 520).select("id", F.lit(T[20]).alias("updated_at"), F.lit("b").alias("status")), source)
+    out = run()
+    after = listed(spark, f"{db}.orders_pg")
+    assert 0 < len(before - after) < 0.05 * len(before)
+    full = merge_latest(rows.limit(0), jdbc.scan(spark, source, "orders"), ["id"], "updated_at", ties="one")
+    assert out.count() == 20_000 and content_summary(out) == content_summary(full.select(*out.columns))
+    # rows of new keys alone replace no file
+    put(spark.range(20_000, 20_030).select("id", F.lit(T[21]).alias("updated_at"), F.lit("n").alias("status")), source)
+    assert run().count() == 20_030
+    assert after <= listed(spark, f"{db}.orders_pg")
+
+
+@pytest.mark.parametrize(
+    "options", [{"buckets": 4}, {"partition_by": "status"}, {"cluster": True}, {"lag": timedelta(days=3)}]
+)
+def test_an_idle_pass_reads_nothing_of_the_target(spark, db, source, options):
+    """Its files are overwritten with zeros of the same length, which no reader survives."""
+    rows = [(i, T[i % 5], "abc"[i % 3]) for i in range(60)]
+    put(spark.createDataFrame(rows, SCHEMA), source)
+    run = passes(spark, source, db, **options)
+    run()
+    run()
+    kept = {}
+    for path in listed(spark, f"{db}.orders_pg"):
+        plain = path.removeprefix("file:")
+        with open(plain, "r+b") as f:
+            kept[plain] = f.read()
+            f.seek(0)
+            f.write(bytes(len(kept[plain])))
+        crc = os.path.join(os.path.dirname(plain), f".{os.path.basename(plain)}.crc")
+        if os.path.exists(crc):
+            os.remove(crc)
+    for _ in range(2):
+        run()
+    with pytest.raises(Exception):
+        spark.table(f"{db}.orders_pg").collect()
+    for plain, content in kept.items():
+        with open(plain, "wb") as f:
+            f.write(content)
+    assert values(spark.table(f"{db}.orders_pg")) == sorted(rows, key=str)
+
+
+def test_a_row_of_the_same_time_is_not_idle(spark, db, source):
+    put(spark.createDataFrame([(1, T[0], "a"), (2, T[1], "b")], SCHEMA), source)
+    run = passes(spark, source, db)
+    run()
+    run()
+    put(spark.createDataFrame([(3, T[1], "late"), (2, T[1], "b")], SCHEMA), source)
+    assert values(run()) == [(1, T[0], "a"), (2, T[1], "b"), (3, T[1], "late")]
+    # the same time with other content counts, the same content does not
+    put(spark.createDataFrame([(3, T[1], "other")], SCHEMA), source, "overwrite")
+    assert values(run()) == [(1, T[0], "a"), (2, T[1], "b"), (3, T[1], "other")]
+    files = listed(spark, f"{db}.orders_pg")
+    put(spark.createDataFrame([(9, T[0], "too old")], SCHEMA), source)
+    run()
+    assert listed(spark, f"{db}.orders_pg") == files
+
+
+def test_the_kept_watermark_is_that_of_the_files(spark, db, source):
+    put(spark.createDataFrame([(1, T[0], "a"), (2, T[1], "b")], SCHEMA), source)
+    run = passes(spark, source, db)
+    run()
+    run()
+    name = f"{db}.orders_pg"
+    seen = json.loads(tables.table_property(spark, name, replicate._SEEN))
+    assert seen["mark"] == T[1].isoformat() and seen["rows"] == 1
+    tables.append_rows(spark.createDataFrame([(7, T[9], "by others")], SCHEMA), name)
+    put(spark.createDataFrame([(8, T[5], "before that"), (9, T[9], "with that")], SCHEMA), source)
+    assert {r[0] for r in values(run())} == {1, 2, 7, 9}
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "date"])
+def test_watermarks_as_text(spark, kind):
+    from pyspark.sql import types
+
+    dtype = {"timestamp": types.TimestampType(), "timestamp_ntz": types.TimestampNTZType(), "date": types.DateType()}[kind]
+    value = spark.sql(f"SELECT CAST('2024-03-05 06:07:08.123456' AS {kind}) AS t").first()[0]
+    assert replicate._retold(replicate._told(value, dtype), dtype) == value
+
+
+@pytest.mark.parametrize(
+    ("options", "stop"),
+    [
+        ({}, "before moves"),
+        ({"buckets": 4}, "first move"),
+        ({"buckets": 4}, "second delete"),
+        ({"partition_by": "status"}, "first move"),
+    ],
+)
+def test_a_stopped_replacement_is_finished_by_the_next_pass(spark, db, source, monkeypatch, options, stop):
+    rows = [(i, T[0], "abc"[i % 3]) for i in range(90)]
+    put(spark.createDataFrame(rows, SCHEMA), source)
+    run = passes(spark, source, db, **options)
+    run()
+    run()
+    changed = [(i, T[3], "abc"[i % 3]) for i in (4, 5)] + [(100, T[3], "d")]
+    put(spark.createDataFrame(changed, SCHEMA), source)
+    done = {"move": 0, "delete": 0}
+    move, delete = filewise.move_path, filewise.delete_path
+
+    def moving(*args):
+        done["move"] += 1
+        if stop == "before moves" or (stop == "first move" and done["move"] > 1):
+            raise RuntimeError("lost")
+        move(*args)
+
+    def deleting(*args, **kwargs):
+        done["delete"] += 1
+        if stop == "second delete" and done["delete"] > 1:
+            raise RuntimeError("lost")
+        delete(*args, **kwargs)
+
+    monkeypatch.setattr(filewise, "move_path", moving)
+    monkeypatch.setattr(filewise, "delete_path", deleting)
+    try:
+        run()
+    except Exception:
+        pass
+    monkeypatch.setattr(filewise, "move_path", move)
+    monkeypatch.setattr(filewise, "delete_path", delete)
+    want = sorted({r[0]: r for r in [*rows, *changed]}.values(), key=str)
+    assert values(run()) == want
+    assert {t.name for t in spark.catalog.listTables(db)} == {"orders_pg"}
+
+
+def test_small_files_are_merged_when_there_are_many(spark, db, source, monkeypatch):
+    monkeypatch.setattr(filewise, "MOST_SMALL", 3)
+    put(spark.createDataFrame([(i, T[0], "a") for i in range(10)], SCHEMA), source)
+    run = passes(spark, source, db)
+    run()
+    sizes = []
+    for day in range(1, 6):
+        put(spark.createDataFrame([(100 + day, T[day], "n")], SCHEMA), source)
+        run()
+        sizes.append(len(listed(spark, f"{db}.orders_pg")))
+    assert max(sizes) <= 12 and min(sizes) <= 4
+    assert run().count() == 15
+
+
+def test_many_touched_files_are_written_as_a_whole(spark, db, source, many_files):
+    put(spark.range(2000).select("id", F.lit(T[0]).alias("updated_at"), F.lit("a").alias("status")), source)
+    run = passes(spark, source, db)
+    run()
+    run()
+    put(spark.range(2000).select("id", F.lit(T[2]).alias("updated_at"), F.lit("b").alias("status")), source)
+    out = run()
+    assert out.where("status = 'b'").count() == out.count() == 2000
+
+
+def test_composite_keys_odd_columns_and_folder_names(spark, db):
+    """Maps are compared, keys of two columns found, escapes in folder names kept."""
+    schema = "a string, b int, t timestamp_ntz, m map<string,int>, p string"
+    rows = [(f"k{i % 7}", i, T[0], {"x": i}, f"p {i % 8}/%&") for i in range(40)]
+    tables.create_table(spark.createDataFrame(rows, schema), f"{db}.t", partition_by="p")
+    delta = [
+        ("k1", 1, T[0], {"x": 1}, "p 1/%&"),  # as it is
+        ("k2", 2, T[0], {"x": 99}, "p 2/%&"),  # other content at the same time
+        ("k3", 3, T[1], {"x": 3}, "p 3/%&"),  # newer
+        ("k3", 3, T[0], {"x": 0}, "p 3/%&"),
+        ("zz", 0, T[0], None, "new:one"),
+        (None, 5, T[1], None, "p 0/%&"),
+    ]
+    frame = spark.createDataFrame(delta, schema)
+    changed = filewise.find_changes(spark, f"{db}.t", frame, ["a", "b"], "t")
+    news = [("k2", 2, False), ("k3", 3, False), ("zz", 0, True)]
+    assert sorted((r["a"], r["b"], r["__file"] is None) for r in changed.collect()) == news
+    before = listed(spark, f"{db}.t")
+    assert filewise.apply_changes(spark, f"{db}.t", changed, ["a", "b"], partition_by="p")
+    filewise.drop_changes(spark, f"{db}.t")
+    want = {(r[0], r[1]): r for r in [*rows, delta[1], delta[2], delta[4]]}
+    assert values(spark.table(f"{db}.t")) == sorted(want.values(), key=str)
+    assert 2 <= len(before - listed(spark, f"{db}.t")) <= 4
