@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableops.operators.tables import create_table, overwrite_table
+from tableops.sources.paged import read_pages
 
 _FETCHED = "url string, status int, body string"
 
@@ -64,14 +65,22 @@ def fetch(
     return endpoints.repartition(tasks).mapInPandas(get, _FETCHED)
 
 
-def records(bodies: DataFrame, element: str | T.StructType, body: str = "body") -> DataFrame:
+def records(
+    bodies: DataFrame, element: str | T.StructType, body: str = "body", items: str | None = None
+) -> DataFrame:
     """Rows of bodies that are lists of records; a missing field is null.
 
-    ``element`` is the schema of a record. A body that is not JSON is an error.
+    ``element`` is the schema of a record. A body that is not JSON is an error. Bodies that are
+    objects hold the list under ``items``, a dotted path; without it there they have no rows.
     """
     struct = element if isinstance(element, str) else element.simpleString()
-    struct = struct if struct.startswith("struct<") else f"struct<{struct}>"
-    parsed = F.from_json(F.col(body), f"array<{struct}>", {"mode": "FAILFAST"})
+    kind = "array<%s>" % (struct if struct.startswith("struct<") else f"struct<{struct}>")
+    names = items.split(".") if items else []
+    for name in reversed(names):
+        kind = f"struct<`{name}`: {kind}>"
+    parsed = F.from_json(F.col(body), kind, {"mode": "FAILFAST"})
+    for name in names:
+        parsed = parsed.getField(name)
     return bodies.select(F.inline(parsed))
 
 
@@ -100,3 +109,17 @@ def api_to_table(
     unless ``overwrite`` is set."""
     rows = records(fetch(endpoints, **fetching), element)
     return overwrite_table(rows, name) if overwrite else create_table(rows, name)
+
+
+def paged_to_table(
+    spark: SparkSession,
+    endpoints: list[str],
+    name: str,
+    element: str | T.StructType,
+    items: str | None = None,
+    overwrite: bool = False,
+    **reading,
+) -> DataFrame:
+    """``api_to_table`` for endpoints of many pages; ``reading`` as in ``read_pages``."""
+    rows = records(read_pages(spark, endpoints, **reading), element, items=items)
+    return overwrite_table(rows, name) if overwrite else create_table(rows, name)

@@ -112,3 +112,40 @@ def dir_sizes(files: DataFrame, root: str) -> DataFrame:
         .agg(F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("files"))
         .withColumn("gb", whole_gb(F.col("bytes")))
     )
+
+
+def content_summary(files: DataFrame, root: str, levels: int | None = None) -> DataFrame:
+    """Files, folders and bytes below every folder under ``root``: ``folder, level, files, folders, bytes``.
+
+    ``folder`` is the path from ``root`` on and empty for ``root`` itself, at level 0; with ``levels`` no
+    deeper one is listed, but all that is below counts. ``folders`` leaves out the folder itself. Folders
+    without any file are unknown to a list of files. A file adds to each folder above it; these
+    sums are begun in the tasks that list the files, so the shuffle moves rows per folder.
+    """
+    below = path_below(files.sparkSession, root)
+    parts = F.split(below, "/")
+    depth = F.size(parts) - 1
+
+    def above(depth: Column, parts: Column) -> Column:
+        """The folders a path lies in, from the root on."""
+        return F.transform(
+            F.sequence(F.lit(0), depth),
+            lambda n: F.struct(F.array_join(F.slice(parts, F.lit(1), n), "/").alias("folder"), n.alias("level")),
+        )
+
+    own = files.select(depth.alias("depth"), parts.alias("parts"), "length")
+    summed = own.select(F.inline(above(F.col("depth"), F.col("parts"))), "length")
+    counted = summed.groupBy("folder", "level").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes")
+    )
+    # each folder but the root counts once for every folder above it
+    inner = counted.where("level > 0").select(F.split("folder", "/").alias("parts"), "level")
+    holding = (
+        inner.select(F.inline(above(F.col("level") - 1, F.col("parts"))))
+        .groupBy("folder")
+        .agg(F.count(F.lit(1)).alias("folders"))
+    )
+    out = counted.join(holding, "folder", "left").select(
+        "folder", "level", "files", F.coalesce("folders", F.lit(0)).cast("long").alias("folders"), "bytes"
+    )
+    return out if levels is None else out.where(F.col("level") <= levels)

@@ -28,7 +28,7 @@ def read_sheet(
     The first row of each file is its header, and its cells become the column
     names after clean-up. Files of a folder may have their columns in another order;
     other columns are an error. A row wider than the header is an error too, when it
-    is read; the missing cells of a shorter one are empty text, as blank cells are.
+    is read, unless its cells beyond are blank and no more than ``_SPARE``; the missing cells of a shorter one are empty text, as blank cells are.
     Rows that repeat the cleaned header are no data.
 
     Sheets are few: their headers are read one after the other on the driver, and
@@ -60,15 +60,15 @@ def read_sheet(
     ).select(*[f"`{n}`" for n in names])
 
 
-#: Cells beyond the header that are looked at in a row; blank ones do no harm.
-_SPARE = 32
+#: Cells beyond the header a row may have if they are blank. More stop the parser.
+_SPARE = 8
 
 
 def _grid(reader: DataFrameReader, files: list[str], header: tuple[str, ...]) -> DataFrame:
     """Files under one cleaned header."""
     spare = [f"__beyond_{i}" for i in range(_SPARE)]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in (*header, *spare)])
-    rows = reader.schema(schema).option("header", True).csv(files)
+    rows = reader.schema(schema).option("header", True).option("maxColumns", len(schema)).csv(files)
     too_many = F.raise_error(F.lit(f"a row is wider than the header {list(header)}"))
     fits = F.when(F.coalesce(*spare).isNull(), F.lit(True)).otherwise(too_many.cast("boolean"))
     df = rows.where(fits).select(*[F.col(f"`{n}`") for n in header]).fillna("")

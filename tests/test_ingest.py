@@ -172,6 +172,9 @@ def test_ragged_and_reordered_sheets(spark, tmp_path, multiline):
     for i, row in enumerate(("3,4,5", "3,4,,6", "3,4,5,6,7")):
         with pytest.raises(Exception, match="wider than the header"):
             read(sheet(tmp_path / f"wide{i}", a=f"A,B\n1,2\n{row}\n"))
+    for i, n in enumerate((9, 40, 400)):  # cells beyond those that are looked at
+        with pytest.raises(Exception, match="(?i)parsing|index|column"):
+            read(sheet(tmp_path / f"far{i}", a=f"A,B\n1,2\n3,4{',' * n}5\n"))
     mixed = sheet(tmp_path / "mixed", a="A,B c\n1,2\n", b="b C,a\n20,10\nb_c,a\n")
     assert read(mixed) == [("1", "2"), ("10", "20")]
     with pytest.raises(ValueError, match="headers differ"):
@@ -195,3 +198,27 @@ def test_whole_text_reads_bounded_files(spark, monkeypatch):
     assert got == want
     assert max(most) <= 50
     assert sum(most) == ingest.table(spark, sf_dir, "events").count()
+
+
+def test_content_summary_at_every_level(spark, tmp_path):
+    layout = {"a/x/1.txt": 10, "a/x/2.txt": 5, "a/y/z/deep/3.txt": 7, "a/4.txt": 1, "b c/5.txt": 2, "6.txt": 3}
+    for name, size in layout.items():
+        path = tmp_path / "t" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"x" * size)
+    want = {}
+    for name, size in layout.items():
+        parts = name.split("/")[:-1]
+        for n in range(len(parts) + 1):
+            of = want.setdefault("/".join(parts[:n]), [n, 0, set(), 0])
+            of[1] += 1
+            of[2] |= {"/".join(parts[:m]) for m in range(n + 1, len(parts) + 1)}
+            of[3] += size
+    root = str(tmp_path / "t")
+    found = files.content_summary(files.inventory(spark, root), root)
+    assert {r.folder: (r.level, r.files, r.folders, r.bytes) for r in found.collect()} == {
+        f: (n, k, len(folders), size) for f, (n, k, folders, size) in want.items()
+    }
+    assert want[""][1:] == [6, {"a", "a/x", "a/y", "a/y/z", "a/y/z/deep", "b c"}, 28]
+    top = files.content_summary(files.inventory(spark, root), root, levels=1).collect()
+    assert {(r.folder, r.files, r.bytes) for r in top} == {("", 6, 28), ("a", 4, 23), ("b c", 1, 2)}
