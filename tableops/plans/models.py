@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from dataclasses import dataclass
 from graphlib import TopologicalSorter
 
@@ -35,11 +36,17 @@ def refresh_models(
     models: list[Model],
     db: str,
     sources: dict[str, DataFrame] | None = None,
+    at_once: int = 4,
 ) -> DataFrame:
     """Rebuild every model as ``db.<name>``, dependencies first.
 
+    Models that do not wait for one another are built side by side, ``at_once`` at most,
+    each in a scheduler pool of its own, so that with ``spark.scheduler.mode`` FAIR a
+    long one does not hold the others up. A model begins as soon as those it depends on are
+    built.
+
     A model whose upstream was not built is skipped, and the others go on. The
-    result is ``model, status, error``. If a model that is not optional failed or
+    result is ``model, status, error``, dependencies first. If a model that is not optional failed or
     was skipped, ``ModelError`` is raised after the last one.
     """
     sources = sources or {}
@@ -48,25 +55,41 @@ def refresh_models(
     if unknown:
         raise ValueError(f"neither models nor sources: {sorted(unknown)}")
     graph = {m.name: [d for d in m.depends_on if d in by_name] for m in models}
-    status: dict[str, str] = {}
-    report: list[tuple[str, str, str | None]] = []
-    for name in TopologicalSorter(graph).static_order():
-        model, error = by_name[name], None
-        missing = [d for d in graph[name] if status[d] != "built"]
-        if missing:
-            status[name], error = "skipped", f"not built: {', '.join(missing)}"
-        else:
-            try:
-                upstream = {
-                    d: spark.table(f"{db}.{d}") if d in by_name else sources[d]
-                    for d in model.depends_on
-                }
-                overwrite_table(spark.sql(model.select, **upstream), f"{db}.{name}")
-                status[name] = "built"
-            except Exception as e:
-                status[name], error = "failed", str(e)
-        report.append((name, status[name], error))
-    if any(status[m.name] != "built" and not m.optional for m in models):
+    order = list(TopologicalSorter(graph).static_order())
+    outcome: dict[str, tuple[str, str | None]] = {}
+
+    def build(model: Model) -> tuple[str, str | None]:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"model-{model.name}")
+        try:
+            upstream = {
+                d: spark.table(f"{db}.{d}") if d in by_name else sources[d] for d in model.depends_on
+            }
+            overwrite_table(spark.sql(model.select, **upstream), f"{db}.{model.name}")
+            return "built", None
+        except Exception as e:
+            return "failed", str(e)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    waiting = TopologicalSorter(graph)
+    waiting.prepare()
+    running: dict[Future, str] = {}
+    with ThreadPoolExecutor(at_once) as pool:
+        while waiting.is_active():
+            for name in waiting.get_ready():
+                missing = [d for d in graph[name] if outcome[d][0] != "built"]
+                if missing:
+                    outcome[name] = "skipped", f"not built: {', '.join(missing)}"
+                    waiting.done(name)
+                else:
+                    running[pool.submit(build, by_name[name])] = name
+            if running:
+                for future in wait(running, return_when=FIRST_COMPLETED).done:
+                    name = running.pop(future)
+                    outcome[name] = future.result()
+                    waiting.done(name)
+    report = [(name, *outcome[name]) for name in order]
+    if any(outcome[m.name][0] != "built" and not m.optional for m in models):
         raise ModelError(report)
     return spark.createDataFrame(report, "model string, status string, error string")
 

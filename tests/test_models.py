@@ -87,3 +87,35 @@ def test_adhoc_query(spark):
     for nothing in ("", "  ", None):
         with pytest.raises(ValueError):
             adhoc_query(spark, nothing)
+
+
+def test_independent_models_are_built_side_by_side(spark, db, raw):
+    """Two models that wait for each other's start end only if both run at once."""
+    import threading
+
+    from tableops.plans import models
+
+    both, entered, overwrite = threading.Barrier(2, timeout=60), [], models.overwrite_table
+
+    def slowly(df, name):
+        if name.endswith(("left", "right")):
+            both.wait()
+            entered.append(spark.sparkContext.getLocalProperty("spark.scheduler.pool"))
+        return overwrite(df, name)
+
+    models.overwrite_table = slowly
+    try:
+        sides = [Model(n, "SELECT * FROM {test}", ("test",)) for n in ("left", "right")]
+        last = Model("last", "SELECT * FROM {left} UNION ALL SELECT * FROM {right}", ("left", "right"))
+        report = refresh_models(spark, [last, *sides, TEST], db, raw, at_once=2)
+    finally:
+        models.overwrite_table = overwrite
+    assert set(status(report).values()) == {"built"} and [r.model for r in report.collect()][-1] == "last"
+    assert sorted(entered) == ["model-left", "model-right"]
+    assert spark.table(f"{db}.last").count() == 4
+
+
+def test_one_at_a_time_gives_the_same_report(spark, db, raw):
+    chain = [NEEDS, BROKEN, MASTER, TEST]
+    reports = [refresh_models(spark, chain, db, raw, at_once=n).collect() for n in (1, 3)]
+    assert [(r.model, r.status) for r in reports[0]] == [(r.model, r.status) for r in reports[1]]

@@ -1,0 +1,65 @@
+"""Versions behind a view: replaced in one step, for readers that never stop."""
+
+import threading
+
+import pytest
+
+from tableops.operators import tables, versions
+
+
+def rows(spark, n, value):
+    return spark.range(n).selectExpr("id", f"{value} AS v")
+
+
+def test_a_reader_that_loops_during_swaps_never_fails(spark, db):
+    name = f"{db}.t"
+    versions.publish(rows(spark, 500, 0), name)
+    seen, errors, stop = [], [], threading.Event()
+
+    def read():
+        while not stop.is_set():
+            try:
+                seen.append(spark.table(name).selectExpr("count(*)", "min(v)", "max(v)").first())
+            except Exception as e:
+                errors.append(e)
+
+    readers = [threading.Thread(target=read) for _ in range(3)]
+    for r in readers:
+        r.start()
+    for i in range(1, 11):
+        versions.publish(rows(spark, 500, i), name, keep=3)
+    stop.set()
+    for r in readers:
+        r.join()
+    assert not errors
+    assert len(seen) > 10 and all(n == 500 and low == high for n, low, high in seen)
+    assert spark.table(name).first().v == 10
+    assert versions.versions(spark, name) == [9, 10, 11]
+
+
+def test_publishing_from_itself_and_rolling_back(spark, db):
+    name = f"{db}.t"
+    versions.publish(rows(spark, 3, 1), name)
+    out = versions.publish(spark.table(name).selectExpr("id", "v + 1 AS v"), name)
+    assert {r.v for r in out.collect()} == {2}
+    assert {r.v for r in versions.roll_back(spark, name).collect()} == {1}
+    with pytest.raises(ValueError, match="no older"):
+        versions.roll_back(spark, name)
+    # what was rolled back from counts as never shown, and goes with the next version
+    versions.publish(rows(spark, 3, 7), name)
+    assert versions.versions(spark, name) == [1, 3]
+    versions.drop_versions(spark, name)
+    assert spark.catalog.listTables(db) == [] and versions.current(spark, name) is None
+
+
+def test_a_failed_version_is_never_shown(spark, db):
+    name = f"{db}.t"
+    versions.publish(rows(spark, 3, 1), name)
+    with pytest.raises(Exception):
+        versions.publish(spark.range(3).selectExpr("id", "raise_error('no') AS v"), name)
+    assert spark.table(name).count() == 3
+    versions.publish(rows(spark, 4, 2), name)
+    assert spark.table(name).count() == 4
+    tables.create_table(rows(spark, 1, 1), f"{db}.plain")
+    with pytest.raises(ValueError, match="no view"):
+        versions.publish(rows(spark, 1, 1), f"{db}.plain")
