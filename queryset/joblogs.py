@@ -77,6 +77,20 @@ def log_search(spark, sf_dir):
     return joblogs.log_search(logs, apps, _job(7) + " FAILED", ("stderr",), "me")
 
 
+def log_search_indexed(spark, sf_dir):
+    """The same search by staged bitmaps: only folders that may hold the text are read, newest first."""
+    events = table(spark, sf_dir, "events")
+    place = fresh_path(spark, "log_search_indexed")
+    log_lines(events, _DAY_APP).write.partitionBy("app_id", "log_type").text(f"{place}/logs")
+    logs = joblogs.read_logs(spark, f"{place}/logs", partitioned=True)
+    joblogs.log_index(logs).write.parquet(f"{place}/index")
+    index = spark.read.parquet(f"{place}/index")
+    apps = app_rows(events, _DAY_APP).withColumn(
+        "user", F.when(F.col("app_id").endswith("0"), "other").otherwise("me")
+    )
+    return joblogs.log_search(logs, apps, _job(7) + " FAILED", ("stderr",), "me", index)
+
+
 def failed_log(spark, sf_dir):
     """The log that tells how the job of user 7 failed."""
     events = table(spark, sf_dir, "events").where("event_type != 'purchase'")
@@ -186,6 +200,7 @@ def stream_merge_latest(spark, sf_dir):
 
 QUERIES = {
     "log_search": log_search,
+    "log_search_indexed": log_search_indexed,
     "failed_log": failed_log,
     "log_status": log_status,
     "job_status": job_status,
@@ -328,3 +343,4 @@ FROM events WHERE event_type = 'error' AND user_id % 3 = 1
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
   FROM events) WHERE rn = 1""",
 }
+ORACLE["log_search_indexed"] = ORACLE["log_search"]

@@ -50,21 +50,68 @@ def read_logs(spark: SparkSession, path: str, partitioned: bool = False) -> Data
     )
 
 
+#: Bits of a log's bitmap; that of Spark's own bitmap functions.
+_BITS = 32_768
+_GRAM = 3
+#: Applications whose logs are read at first; each time none of them holds the text, four times as many.
+_FIRST_READ = 4
+_NAMED = 4_096
+
+
+def _bit(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(_BITS)).cast("int")
+
+
+def log_index(logs: DataFrame) -> DataFrame:
+    """``app_id, log_type, grams``: a bitmap of the runs of three characters in each log.
+
+    The bitmaps are built in the tasks that read the lines and have four kilobytes whatever the log's
+    length, so the shuffle moves one a task and log. A text can only be in a log whose bitmap has
+    the bits of all of its runs. Stage it, and add what ``log_index`` gives of new applications.
+    """
+    line = F.col("line")
+    grams = F.transform(F.sequence(F.lit(1), F.length(line) - (_GRAM - 1)), lambda i: _bit(F.substring(line, i, F.lit(_GRAM))))
+    bits = F.when(F.length(line) >= _GRAM, F.array_distinct(grams)).otherwise(F.array().cast("array<int>"))
+    held = logs.select("app_id", "log_type", F.explode_outer(bits).alias("bit"))
+    return held.groupBy("app_id", "log_type").agg(F.expr("bitmap_construct_agg(bit)").alias("grams"))
+
+
+def may_hold(grams: Column, text: str) -> Column:
+    """Whether a log of this bitmap can hold ``text``; always, if that is shorter than a run."""
+    runs = sorted({text[i : i + _GRAM] for i in range(len(text) - _GRAM + 1)})
+    if not runs:
+        return F.lit(True)
+
+    def is_set(run: str) -> Column:
+        bit = _bit(F.lit(run))
+        byte = F.conv(F.hex(F.substring(grams, F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        return byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) != 0
+
+    return reduce(lambda a, b: a & b, [is_set(r) for r in runs])
+
+
 def log_search(
     logs: DataFrame,
     apps: DataFrame,
     text: str,
     log_types: tuple[str, ...] = LOG_TYPES,
     user: str | None = None,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """The log lines, of these types, of the newest application with ``text`` in one of them.
 
     ``user`` looks only at that user's applications (column ``user`` of ``apps``); their
     logs alone are then read, if the logs are laid out by application.
+
+    With an ``index`` (of ``log_index``) of the logs, applications whose bitmaps rule the text out
+    are not read, and the others are read newest first, a few at a time, until one holds it.
+    Applications the index does not know may hold anything.
     """
     if "\n" in text:
         raise ValueError("the text to search for has to fit in one line")
     logs = logs.where(F.col("log_type").isin(*log_types))
+    if index is not None:
+        return _newest_first(logs, apps, text, log_types, user, index)
     if user is not None:
         apps = apps.where(F.col("user") == user)
     matching = logs.where(F.col("line").contains(text))
@@ -80,6 +127,42 @@ def log_search(
     return logs.join(F.broadcast(newest), "app_id", "left_semi")
 
 
+def _newest_first(
+    logs: DataFrame,
+    apps: DataFrame,
+    text: str,
+    log_types: tuple[str, ...],
+    user: str | None,
+    index: DataFrame,
+) -> DataFrame:
+    if user is not None:
+        apps = apps.where(F.col("user") == user)
+    out = index.where(F.col("log_type").isin(*log_types)).groupBy("app_id").agg(
+        F.max(may_hold(F.col("grams"), text)).alias("may")
+    )
+    unknown = apps.join(index.select("app_id").distinct(), "app_id", "left_anti")
+    left = (
+        apps.join(out.where("may"), "app_id", "left_semi")
+        .unionByName(unknown)
+        .select("app_id", "finished_time")
+        .orderBy(F.col("finished_time").desc_nulls_last(), F.col("app_id").desc())
+    )
+    done, many = 0, _FIRST_READ
+    while many <= _NAMED:
+        # these few are named in the condition, so that a scan by folders opens no other
+        names = [r.app_id for r in left.offset(done).limit(many).collect()]
+        if not names:
+            return logs.where(F.lit(False))
+        near = logs.where(F.col("app_id").isin(names))
+        holding = near.where(F.col("line").contains(text)).select("app_id").distinct().collect()
+        if holding:
+            newest = min((r.app_id for r in holding), key=names.index)
+            return logs.where(F.col("app_id") == newest)
+        done, many = done + len(names), 4 * many
+    rest = left.offset(done)
+    return log_search(logs.join(rest.select("app_id"), "app_id", "left_semi"), rest, text, log_types)
+
+
 def _flags(log_types: tuple[str, ...] = LOG_TYPES, **tests: Column) -> list[Column]:
     """Aggregates ``<test>_<type>``: whether a line of that log passes the test."""
     return [

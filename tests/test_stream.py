@@ -102,3 +102,55 @@ def test_small_batches_leave_the_base_where_it_is(spark, tmp_path):
     plan = out._jdf.queryExecution().executedPlan().toString()
     above_base = [line for line in plan.splitlines() if "SortMergeJoin" in line]
     assert not above_base
+
+
+def test_a_growing_source_table_as_a_stream(spark, db, tmp_path):
+    """Two restarts, the second under a new checkpoint, while rows are added and changed."""
+    import time
+    import uuid
+
+    from tableops.operators.merge import content_summary
+    from tableops.sources import jdbc
+    from tableops.streaming.replicate import stream_replicate
+
+    source = jdbc.JdbcSource(
+        f"jdbc:derby:memory:s{uuid.uuid4().hex};create=true", driver="org.apache.derby.jdbc.EmbeddedDriver"
+    )
+    schema, kept = "id long, updated_at timestamp_ntz, status string", {}
+
+    def add(rows):
+        kept.update({r[0]: r for r in rows})
+        spark.createDataFrame(rows, schema).write.format("jdbc").options(**source.properties()).option(
+            "url", source.url
+        ).option("dbtable", "orders").option("createTableColumnTypes", "status VARCHAR(9)").mode("append").save()
+
+    def until(query, want):
+        for _ in range(240):
+            if not query.isActive:
+                raise query.exception()
+            if spark.catalog.tableExists(f"{db}.orders"):
+                try:
+                    if values(spark.table(f"{db}.orders")) == sorted(want.values()):
+                        return
+                except Exception:  # between two renames
+                    pass
+            time.sleep(0.5)
+        raise AssertionError("not up to date in time")
+
+    add([(i, T[0], "a") for i in range(5)])
+    for run, checkpoint in enumerate(("one", "one", "two")):
+        query = stream_replicate(
+            spark, source, "orders", db, ["id"], "updated_at", f"{tmp_path}/{checkpoint}", "1 second"
+        )
+        try:
+            until(query, kept)
+            add([(i, T[1 + 2 * run], "b") for i in (run, 10 + run)])
+            until(query, kept)
+        finally:
+            query.stop()
+        add([(i, T[2 + 2 * run], "c") for i in (run, 20 + run)])
+    from tableops.plans.replicate import incremental_replicate
+
+    out = incremental_replicate(spark, source, "orders", db, ["id"], "updated_at")
+    plain = latest_rows(jdbc.scan(spark, source, "orders"), ["id"], "updated_at", "one")
+    assert content_summary(out) == content_summary(plain.select(*out.columns))
