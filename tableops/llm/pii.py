@@ -1,16 +1,19 @@
 """Personal data: patterns, and a character-level BiLSTM with a CRF for disguised forms.
 
-Patterns give the base spans. A tagger learns from windows around base spans, from the
-same spans in disguise (``name [at] host``, ``10[.]0[.]0[.]1``, digits in groups parted
-by dots, ``00`` for ``+``) and from windows with numbers that are no personal data. It
+Patterns give the base spans. A tagger learns from the labelled spans of a bounded sample:
+as they are, in disguise (``name [at] host``, ``10[.]0[.]0[.]1``, digits in other groups), next to one
+another, with other letters and digits in their places, in different contexts, as many windows of
+each kind; and from windows with numbers and signs that are no personal data. It
 then reads every stretch of text that could hold such a span, in overlapping windows.
 Spans of different windows are reconciled over the whole text, and one is added
-only if it is a valid value once its disguise is undone.
+only if it has the structure of a value of its kind, whatever marks disguise it.
 """
 
 from __future__ import annotations
 
+import random
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +32,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|[\[(] ?(?:at|dot) ?[\])]")
+_TRIGGER = re.compile(r"[0-9@]|&#64;|[\[({<_] ?(?:at|dot) ?[\])}>_]|(?<![^\W_])dot(?![^\W_])", re.IGNORECASE)
 
 #: Window of the tagger, how far neighbours overlap, and what it reads around a trigger.
 WINDOW, OVERLAP, AROUND = 64, 32, 24
@@ -77,38 +80,113 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-def _disguised(kind: int, value: str, form: int) -> str:
+#: How training disguises spans: signs for ``@`` and ``.`` of an email, for the dots of an
+#: ip, between groups of a card, and how a phone begins. A parameter of ``train``.
+FORMS: dict[str, tuple] = {
+    "email": (
+        (" [at] ", "."), ("(at)", "."), (" [at] ", " [dot] "), (" at ", " dot "), ("[at]", "[dot]"),
+        (" (at) ", " (dot) "), ("{at}", "{dot}"), (" [@] ", "."), ("&#64;", "."), (" AT ", " DOT "),
+    ),
+    "ip": ("[.]", "(.)", " . ", "[dot]", " dot ", "{.}"),
+    "card": (".", "  ", "/", " - ", "_", " . "),
+    "phone": ("00", "+ ", "00 ", "+  "),
+}
+
+_AT = r"(?:\s*(?:[\[({<_]\s*(?:at|@)\s*[\])}>_]|&\#64;|@)\s*)"
+_DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\.|\s+dot\s+)"
+_HOST = rf"[a-z0-9-]+(?:{_DOT}[a-z0-9-]+)+"
+_MAIL = re.compile(rf"[a-z0-9._%+-]+{_AT}{_HOST}", re.IGNORECASE)
+# a bare word "at" is one only where the dots are words too
+_MAIL_WORDS = re.compile(r"[a-z0-9._%+-]+\s+at\s+[a-z0-9-]+(?:\s+dot\s+[a-z0-9-]+)+", re.IGNORECASE)
+_QUAD = re.compile(
+    r"([0-9]{1,3})(\s*[\[({]?\s*(?:\.|dot)\s*[\])}]?\s*)([0-9]{1,3})\2([0-9]{1,3})\2([0-9]{1,3})", re.IGNORECASE
+)
+_GROUPS = re.compile(r"[0-9]{16,19}|[0-9]{4}([ ./_-]{1,3})[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{1,3})?")
+_CALL = re.compile(r"\(?(?:\+|00) {0,2}([1-9][0-9]*)(\)?[ ().0-9/-]+[0-9])")
+
+
+def _disguised(kind: int, value: str, form) -> str:
     if kind == 0:
-        at, dot = ((" [at] ", "."), ("(at)", "."), (" [at] ", " [dot] "))[form % 3]
         local, _, domain = value.partition("@")
-        return local + at + domain.replace(".", dot)
+        return local + form[0] + domain.replace(".", form[1])
     if kind == 1:
-        return value.replace(".", ("[.]", "(.)")[form % 2])
+        return value.replace(".", form)
     if kind == 2:
         digits = _digits(value)
-        return ".".join(digits[i : i + 4] for i in range(0, len(digits), 4))
-    return "00" + value[1:]
+        return form.join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    end = re.match(r"\+[0-9]+", value).end()
+    return form + value[1:end] + (")" if form.startswith("(") else "") + value[end:]
 
 
-def _undone(kind: int, value: str) -> str:
+def structured(kind: int, value: str) -> bool:
+    """Whether ``value`` as a whole is built like one of its kind, disguised by any marks.
+
+    An email has a sign or word in marks for ``@`` (a bare ``at`` only with bare ``dot``) and two labels or
+    more; an ip four numbers up to 255 with one and the same dot between; a card 16 to 19
+    digits in a row or in fours, that pass Luhn; a phone an international prefix, 8 to 15 digits and a sign between them.
+    """
     if kind == 0:
-        value = re.sub(r" ?[\[(] ?at ?[\])] ?", "@", value)
-        return re.sub(r" ?[\[(] ?dot ?[\])] ?", ".", value)
+        return bool(_MAIL.fullmatch(value) or _MAIL_WORDS.fullmatch(value))
     if kind == 1:
-        return re.sub(r"[\[(]\.[\])]", ".", value)
+        found = _QUAD.fullmatch(value)
+        return bool(found) and all(int(found[i]) <= 255 for i in (1, 3, 4, 5))
+    digits = _digits(value)
     if kind == 2:
-        return value.replace(".", " ")
-    return "+" + value[2:] if value.startswith("00") else value
+        return bool(_GROUPS.fullmatch(value)) and 16 <= len(digits) <= 19 and luhn(digits)
+    found = _CALL.fullmatch(value)
+    if not found or not 8 <= len(found[1]) + len(_digits(found[2])) <= 15:
+        return False
+    return bool(re.search("[^0-9]", found[2]))
 
 
 def valid(text: str, span: Span) -> bool:
-    """Whether the span stands apart from words and numbers, and is a value undisguised."""
+    """Whether the span stands apart from words and numbers, and is built like a value of its kind."""
     kind, start, end = span
     beside = text[start - 1 : start] + text[end : end + 1]
-    if any(c.isalnum() for c in beside):
-        return False
-    value = _undone(kind, text[start:end])
-    return (kind, 0, len(value)) in base_spans(value)
+    return not any(c.isalnum() for c in beside) and structured(kind, text[start:end])
+
+
+_TOKEN = re.compile(r"\S+")
+#: Words on either side of a tagged span that may belong to it, and how far they may reach.
+_MORE_WORDS, _MORE_CHARS = 3, 32
+_LEFT, _RIGHT = "\"'<,;:", "\"'>.,;:!?"
+
+
+def settled(text: str, span: Span) -> list[Span]:
+    """The valid spans that a tagged one means: itself, or runs of whole words in and next to it.
+
+    A tagger may be off by some characters, stop a group early or take two values for one. The
+    words it tagged and a few beside them are tried in all runs, less signs around them;
+    of runs one in the other the longer counts. Values often come in a row, so the words next to a
+    valid one are looked at, too.
+    """
+    kind, start, end = span
+    if valid(text, span):
+        beside = [_TOKEN.match(text, end + 1), _TOKEN.search(text[max(0, start - WINDOW) : start].rstrip()[::-1])]
+        out = [span]
+        if beside[0] and valid(text, (kind, *beside[0].span())):
+            out.append((kind, *beside[0].span()))
+        if beside[1] and beside[1].start() == 0:
+            before = len(text[:start].rstrip())
+            own = (kind, before - beside[1].end(), before)
+            out += [own] if valid(text, own) else []
+        return out
+    words = [m.span() for m in _TOKEN.finditer(text, max(0, start - _MORE_CHARS), min(len(text), end + _MORE_CHARS))]
+    first = max(0, sum(e <= start for _, e in words) - _MORE_WORDS)
+    last = len(words) - max(0, sum(s >= end for s, _ in words) - _MORE_WORDS)
+    words = words[first:last]
+    out: list[Span] = []
+    for size in range(min(len(words), 12), 0, -1):
+        for i in range(len(words) - size + 1):
+            a, b = words[i][0], words[i + size - 1][1]
+            while a < b and text[a] in _LEFT:
+                a += 1
+            while b > a and text[b - 1] in _RIGHT:
+                b -= 1
+            apart = b <= start or a >= end  # has to touch what was tagged
+            if not apart and not any(s <= a and b <= e for _, s, e in out) and valid(text, (kind, a, b)):
+                out.append((kind, a, b))
+    return out
 
 
 # ---------------------------------------------------------------- the tagger
@@ -300,35 +378,100 @@ def labelled(text: str, spans: list[Span]) -> tuple[list[int], list[int]]:
     return own + [_PAD] * (WINDOW - len(own)), tags
 
 
-def _examples(text: str) -> Iterator[tuple[str, list[int]]]:
-    """Windows of a text with their spans as flat numbers: up to two of each sort."""
-    spans = base_spans(text)
-    for kind in range(len(KINDS)):
-        for k, start, end in [s for s in spans if s[0] == kind and s[2] - s[1] <= 40][:2]:
-            low = max(0, start - 16)
-            here = [(a, b - low, c - low) for a, b, c in spans if b >= low and c <= low + WINDOW]
-            yield text[low : low + WINDOW], [x for s in here for x in s]
-            value = text[start:end]
-            other = _disguised(k, value, len(value) + start)
-            near = text[low:start] + other + text[end : end + WINDOW]
-            yield near[:WINDOW], [k, start - low, start - low + len(other)]
-    taken, found = 0, 0
-    for m in _TRIGGER.finditer(text):
-        if m.start() >= taken and not any(s - 40 <= m.start() <= e for _, s, e in spans):
-            low = max(0, m.start() - 20)
-            if not any(b < low + WINDOW and low < c for _, b, c in spans):
-                yield text[low : low + WINDOW], []
-                found += 1
-            taken = m.start() + WINDOW
-            if found == 2:
-                return
-
+_SIDE = 48
 
-def train(docs: DataFrame, max_windows: int = 3000, **shape) -> Tagger | None:
-    """A tagger from at most ``max_windows`` windows of the documents, half of them without spans.
 
-    Which ones is decided by a hash of the window, so that it does not depend on the
-    order of rows. None if no document holds a base span.
+def _examples(text: str) -> Iterator[tuple[int, str, str, str]]:
+    """``(kind, before, value, after)``: each base span with what stands around it; kind -1 for windows
+    around other numbers and signs, whose value is empty."""
+    spans = base_spans(text)
+    for kind, start, end in spans:
+        yield kind, text[max(0, start - _SIDE) : start], text[start:end], text[end : end + _SIDE]
+    edges = sorted((s, e) for _, s, e in spans)
+    taken = 0
+    for m in _TRIGGER.finditer(text):
+        at = m.start()
+        if at < taken:
+            continue
+        low = max(0, at - 20)
+        i = bisect_left(edges, (low - WINDOW,))
+        near = any(s < low + WINDOW and low < e for s, e in edges[i : i + 8])
+        # digits as long as a card's look like one; only Luhn, which is checked later, tells
+        if not near and not re.search("[0-9][ -]?(?:[0-9][ -]?){14,}", text[low : low + WINDOW]):
+            yield -1, text[low : low + WINDOW], "", ""
+        taken = at + WINDOW
+
+
+def _varied(kind: int, value: str, rng: random.Random) -> str:
+    """The value with other letters and digits in their places; of an email also other parts."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def other(part: str) -> str:
+        return "".join(
+            rng.choice("0123456789") if "0" <= c <= "9" else rng.choice(letters) if "a" <= c <= "z" else c
+            for c in part
+        )
+
+    if kind:
+        return other(value)
+    local, _, domain = value.partition("@")
+    word = "".join(rng.choice(letters) for _ in range(rng.randint(2, 9)))
+    labels = domain.split(".")
+    local = rng.choice((other(local), word, f"{word}.{other(word)}", f"{word}{rng.randrange(100)}"))
+    labels = rng.choice((labels, labels[-2:], [word[::-1], labels[-1]], [other(word), word, labels[-1]]))
+    ending = rng.choice((labels[-1], "".join(rng.choice(letters) for _ in range(rng.randint(2, 4)))))
+    return f"{local}@{'.'.join([*map(other, labels[:-1]), ending])}"
+
+
+def _windows_of(rows: list[tuple[int, str, str, str]], each: int, forms: dict, seed: int) -> Iterator[tuple[str, list[Span]]]:
+    """``each`` windows of every kind among ``rows``, with the spans they show.
+
+    A third as they are, the rest in disguise; half with other letters and digits; every
+    sixth next to a second value of the kind. Where in its window a span stands, and what stands before
+    and after it, differs.
+    """
+    rng = random.Random(seed)
+    sides = [(b, a) for _, b, _, a in rows] or [("", "")]
+    for kind, name in enumerate(KINDS):
+        own = [r for r in rows if r[0] == kind and len(r[2]) <= WINDOW - 8]
+        for i in range(each if own else 0):
+            _, before, value, after = own[i % len(own)]
+            if rng.random() < 0.5:
+                value = _varied(kind, value, rng)
+            if rng.random() < 0.5:
+                before, after = rng.choice(sides)[0], rng.choice(sides)[1]
+            if i % 3 and forms.get(name):
+                value = _disguised(kind, value, rng.choice(forms[name]))
+            values = [value]
+            if i % 6 == 5:
+                values.append(_varied(kind, value, rng) if i % 3 == 0 or kind else value)
+            before = before[max(0, len(before) - rng.randrange(0, _SIDE)) :]
+            if before and before[-1].isalnum():
+                before += " "
+            text, spans = before, []
+            for v in values:
+                spans.append((kind, len(text), len(text) + len(v)))
+                text += v + " "
+            text = text[:-1] + (after if after[:1] and not after[0].isalnum() else " " + after)
+            low = max(0, min(rng.randrange(0, 24), spans[0][1] - 1)) if spans[0][1] else 0
+            yield text[low : low + WINDOW], [(k, a - low, b - low) for k, a, b in spans if a - low < WINDOW]
+
+
+def train(
+    docs: DataFrame,
+    max_spans: int = 400,
+    max_clean: int = 1000,
+    each: int = 700,
+    forms: dict[str, tuple] | None = None,
+    seed: int = 7,
+    **shape,
+) -> Tagger | None:
+    """A tagger from at most ``max_spans`` labelled spans of each kind and ``max_clean`` windows without any.
+
+    Which ones is decided by a hash, so that it does not depend on the
+    order of rows. ``each`` windows of a kind are made of its spans, however few there are; ``forms`` are the
+    disguises (``FORMS``). Spans longer than a window less eight characters don't train, but are found.
+    None if no document holds a base span.
     """
     plain, _, _ = texts(docs)
 
@@ -336,19 +479,21 @@ def train(docs: DataFrame, max_windows: int = 3000, **shape) -> Tagger | None:
         for batch in slices(batches):
             rows = [x for t in batch["text"].to_pylist() for x in _examples(t)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.int32()))],
-                ["window", "spans"],
+                [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), *[pa.string()] * 3))],
+                ["kind", "before", "value", "after"],
             )
 
-    cut = staged(plain.mapInArrow(cutting, "window string, spans array<int>").distinct(), "pii-windows")
+    fields = "kind int, before string, value string, after string"
+    cut = staged(plain.mapInArrow(cutting, fields).distinct(), "pii-windows")
     rows = []
-    for some in (F.size("spans") > 0, F.size("spans") == 0):
-        rows += lowest_by_hash(cut.where(some), max_windows // 2, "window", "spans").collect()
-    if not any(r.spans for r in rows):
+    for kind in range(len(KINDS)):
+        own = cut.where(F.col("kind") == kind)
+        rows += [tuple(r) for r in lowest_by_hash(own, max_spans, "before", "value", "after").collect()]
+    if not rows:
         return None
-    made = [
-        labelled(r.window, [tuple(r.spans[i : i + 3]) for i in range(0, len(r.spans), 3)]) for r in rows
-    ]
+    clean = lowest_by_hash(cut.where("kind = -1"), max_clean, "before").collect()
+    made = list(_windows_of(rows, each, FORMS if forms is None else forms, seed))
+    made = [labelled(*m) for m in [*made, *((r.before, []) for r in clean)]]
     return fit(np.array([m[0] for m in made]), np.array([m[1] for m in made]), **shape)
 
 
@@ -389,17 +534,24 @@ def reconciled(text: str, offered: list[tuple[float, Span]], base: list[Span]) -
 
     Better is the longer one, then the one of the surer window, then the first.
     """
+    meant: dict[Span, float] = {}
+    for sure, span in set(offered):
+        for own in settled(text, span):
+            meant[own] = max(sure, meant.get(own, sure))
     taken = sorted((s, e) for _, s, e in base)
     starts = [s for s, _ in taken]
     tops = np.maximum.accumulate([e for _, e in taken]).tolist() if taken else []
     kept: list[Span] = []
-    for _, span in sorted(set(offered), key=lambda x: (x[1][1] - x[1][2], -x[0], x[1])):
+    held: list[tuple[int, int]] = []  # by place; they are apart
+    for span in sorted(meant, key=lambda x: (x[1] - x[2], -meant[x], x)):
         _, start, end = span
-        before = np.searchsorted(starts, end) - 1 if starts else -1
+        before = bisect_left(starts, end) - 1
         if before >= 0 and tops[before] > start:
             continue
-        if any(s < end and start < e for _, s, e in kept) or not valid(text, span):
+        i = bisect_left(held, (start, end))
+        if any(s < end and start < e for s, e in held[max(0, i - 1) : i + 1]):
             continue
+        insort(held, (start, end))
         kept.append(span)
     return sorted(kept)
 
