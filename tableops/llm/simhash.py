@@ -9,7 +9,7 @@ few disjoint bit segments (the triangle bound with distance zero), so a shard is
 keyed by a choice of segments and their bits. A shard is then cut into rings around
 a vantage point; a node whose distance to the inner edge of its ring is within the
 radius also visits the next inner ring, which is where every partner it can have
-there lies. Inside a ring a vantage-point tree finds the pairs, leaving out
+there lies. Shards beyond a bound are dealt out by more segments. Inside a ring a vantage-point tree finds the pairs, leaving out
 branches the triangle inequality rules out. What a task hands on is a spanning
 forest of the links it found, never all pairs.
 """
@@ -17,7 +17,7 @@ forest of the links it found, never all pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 import numpy as np
@@ -35,6 +35,8 @@ _BLOCK = 1 << 13
 #: Pairs of fingerprints compared at once.
 _LEAF = 1 << 16
 _RING = 8
+#: Nodes of a shard, which one task holds, at most.
+_MOST = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -286,9 +288,28 @@ def _linked(shards: np.ndarray, prints: np.ndarray, radius: int) -> np.ndarray:
     return links.roots()
 
 
+def _bounded_shards(nodes: DataFrame, scheme: Scheme) -> DataFrame:
+    """``_sharded``, but nodes of shards with more than ``_MOST`` rows are dealt out anew.
+
+    Their new shards are keyed by nine of ``radius + 9`` segments, which a pair within the radius
+    agrees on for some choice, too. What is left free there is ``radius`` segments, 16 bits of 64 for
+    three: so a shard holds at most some 65,000 different fingerprints, however alike they are.
+    """
+    pairs = _sharded(nodes, scheme)
+    many = pairs.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > _MOST)
+    crowded = staged(many.select("shard"), "simhash-crowded")
+    if crowded.isEmpty():
+        return pairs
+    again = staged(
+        pairs.join(crowded, "shard", "left_semi").select("fingerprint").distinct(), "simhash-again"
+    )
+    fine = replace(scheme, segments=scheme.radius + 9, agreeing=9)
+    return pairs.join(crowded, "shard", "left_anti").unionByName(_sharded(again, fine))
+
+
 def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
     """``(a, b)``: a spanning forest, shard by shard, of the links between distinct nodes."""
-    pairs = _sharded(nodes, scheme)
+    pairs = _bounded_shards(nodes, scheme)
 
     def linking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_shards, held_prints = np.zeros(0, np.int64), np.zeros((0, scheme.bits // 64), np.uint64)

@@ -95,6 +95,28 @@ def test_links_are_complete(spark, scheme):
     assert got == [at[c] for c in plain_components(ids, ids)]
 
 
+@pytest.mark.parametrize("most", [20, 400])
+def test_crowded_shards_are_dealt_out_anew(spark, monkeypatch, most):
+    """A third of all nodes agree on a segment, and a tight cluster on nearly all bits."""
+    monkeypatch.setattr(simhash, "_MOST", most)
+    rng = random.Random(8)
+    low, near = rng.getrandbits(16), rng.getrandbits(64)
+    prints = {rng.getrandbits(48) << 16 | low for _ in range(500)}
+    prints |= {near ^ (1 << a) ^ (1 << b) for a in range(0, 64, 3) for b in range(a)}
+    for p in rng.sample(sorted(prints), 200):
+        prints.add(p ^ sum(1 << b for b in rng.sample(range(64), rng.choice([1, 2, 3, 4]))))
+    prints |= {rng.getrandbits(64) for _ in range(300)}
+    ids = sorted(prints)
+    nodes = spark.createDataFrame([(p.to_bytes(8, "little"),) for p in ids], "fingerprint binary")
+    pairs = simhash.links(nodes, simhash.Scheme()).collect()
+    at = {p.to_bytes(8, "little"): i for i, p in enumerate(ids)}
+    a, b = (np.array([at[bytes(x[k])] for x in pairs]) for k in (0, 1))
+    got = simhash._forest(len(ids), a, b).tolist()
+    assert got == [ids.index(c) for c in plain_components(ids, ids)]
+    sizes = simhash._bounded_shards(nodes, simhash.Scheme()).groupBy("shard").count()
+    assert sizes.agg({"count": "max"}).first()[0] < 500
+
+
 def test_components_follow_long_chains(spark):
     chain = [(i, i + 1) for i in range(200)] + [(1000, 1001), (1001, 1000)]
     edges = spark.createDataFrame(chain, "a long, b long")
