@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableops.llm import (
@@ -142,12 +142,17 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def _big_endian_hex(col: str, size: int = 8) -> Column:
+    """Little-endian bytes as lowercase hex, byte by byte: ``reverse`` takes binary for UTF-8 text."""
+    return F.lower(F.hex(F.concat(*[F.substring(col, i, 1) for i in range(size, 0, -1)])))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: three-word shingles, three bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
         "doc_id",
-        F.lower(F.hex(F.reverse(F.col("fingerprint")))).alias("fingerprint"),
+        _big_endian_hex("fingerprint").alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
 

@@ -8,6 +8,7 @@ import xxhash
 
 from tableops.llm import simhash
 from tableops.llm.base import table
+from tableops.llm.queries import op6_simhash
 
 SF_DIR = "/root/testdata/sf0.001"
 WHITE = "\t\n\v\f\r "
@@ -57,6 +58,16 @@ def test_whole_table(spark):
     assert got == want
 
 
+def test_registered_query(spark):
+    """Fingerprints in hex; bytes of C2 and above begin a character in UTF-8 and must not move others."""
+    rows = [(r.doc_id, r.text) for r in table(spark, SF_DIR, "documents").collect()]
+    ids, prints = [i for i, _ in rows], [plain_print(t) for _, t in rows]
+    assert any(p >> 8 * b & 0xFF >= 0xC2 for p in prints for b in range(8))
+    hexed = [f"{p:016x}" for p in prints]
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in op6_simhash(spark, SF_DIR).collect()}
+    assert got == dict(zip(ids, zip(hexed, plain_components(ids, prints), strict=True), strict=True))
+
+
 def test_odd_rows(spark, make_docs):
     rows = [(5, None), (3, ""), (4, " \n\t"), (9, "Two Words"), (2, "two\x0bwords"), (2, "two words")]
     rows += [(None, "another text of some words here"), (8, "x" * 100_000 + " y z")]
