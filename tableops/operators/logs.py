@@ -52,42 +52,104 @@ def read_logs(spark: SparkSession, path: str, partitioned: bool = False) -> Data
 
 #: Bits of a log's bitmap; that of Spark's own bitmap functions.
 _BITS = 32_768
+#: Bytes of a run; its place is in the upper bits of its product, those above the spare ones.
 _GRAM = 3
+_MIXER = 0x9E3779B1
+_SPARE = 32 - (_BITS - 1).bit_length()
 #: Applications whose logs are read at first; each time none of them holds the text, four times as many.
 _FIRST_READ = 4
 _NAMED = 4_096
-
-
-def _bit(gram: Column) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(_BITS)).cast("int")
+#: Bytes of lines marked at once, logs marked side by side, and logs whose bitmaps a task keeps.
+_BLOCK, _ABREAST, _KEPT = 1 << 20, 64, 4_096
 
 
 def log_index(logs: DataFrame) -> DataFrame:
-    """``app_id, log_type, grams``: a bitmap of the runs of three characters in each log.
+    """``app_id, log_type, grams``: a bitmap of the runs of three bytes (in UTF-8) in each log.
 
     The bitmaps are built in the tasks that read the lines and have four kilobytes whatever the log's
     length, so the shuffle moves one a task and log. A text can only be in a log whose bitmap has
     the bits of all of its runs. Stage it, and add what ``log_index`` gives of new applications.
     """
-    line = F.col("line")
-    grams = F.transform(F.sequence(F.lit(1), F.length(line) - (_GRAM - 1)), lambda i: _bit(F.substring(line, i, F.lit(_GRAM))))
-    bits = F.when(F.length(line) >= _GRAM, F.array_distinct(grams)).otherwise(F.array().cast("array<int>"))
-    held = logs.select("app_id", "log_type", F.explode_outer(bits).alias("bit"))
-    return held.groupBy("app_id", "log_type").agg(F.expr("bitmap_construct_agg(bit)").alias("grams"))
+    size, gram, mixer, spare = _BITS, _GRAM, _MIXER, _SPARE
+    block, abreast, kept = _BLOCK, _ABREAST, _KEPT
+
+    # Nested, with its imports inside: workers need no copy of this package.
+    def marking(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def marked(data, start, end, log, many):
+            """Bitmaps of ``many`` logs; a row is ``data[start:end]`` of log number ``log``."""
+            marks = np.zeros((many, size), dtype=bool)
+            for low in range(int(start[0]), int(end[-1]), block):
+                near = slice(np.searchsorted(end, low, side="right"), np.searchsorted(start, low + block))
+                begin = np.maximum(start[near], low)
+                runs = np.maximum(np.minimum(end[near] - gram + 1, low + block) - begin, 0)
+                window = data[low : low + block + gram - 1].astype(np.uint32)
+                found = np.zeros(max(0, len(window) - gram + 1), np.uint32)
+                for i in range(gram):
+                    found |= window[i : i + len(found)] << np.uint32(8 * i)
+                found = (found * np.uint32(mixer)) >> np.uint32(spare)
+                before = np.cumsum(runs) - runs
+                place = np.arange(runs.sum()) + np.repeat(begin - low - before, runs)
+                marks.ravel()[np.repeat(log[near] * size, runs) + found[place]] = True
+            return np.packbits(marks, axis=1, bitorder="little")
+
+        held: dict = {}
+
+        def given():
+            apps, kinds = zip(*held, strict=True)
+            columns = [pa.array(x, t) for x, t in zip((apps, kinds, list(held.values())), types, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, ["app_id", "log_type", "grams"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            types = [batch.schema.field(c).type for c in ("app_id", "log_type")] + [pa.binary()]
+            apps, kinds = (batch[c].dictionary_encode("encode") for c in ("app_id", "log_type"))
+            pair = apps.indices.to_numpy().astype(np.int64) * len(kinds.dictionary) + kinds.indices.to_numpy()
+            pairs, log = np.unique(pair, return_inverse=True)
+            names = [
+                (apps.dictionary[i].as_py(), kinds.dictionary[j].as_py())
+                for i, j in zip(*(x.tolist() for x in np.divmod(pairs, len(kinds.dictionary))), strict=True)
+            ]
+            lines = batch["line"].fill_null("").cast(pa.large_binary())
+            _, edges, raw = lines.buffers()
+            edges = np.frombuffer(edges, np.int64)[lines.offset : lines.offset + len(lines) + 1]
+            data = np.frombuffer(raw or b"", np.uint8)
+            for first in range(0, len(names), abreast):
+                few = names[first : first + abreast]
+                own = np.flatnonzero((log >= first) & (log < first + abreast))
+                maps = marked(data, edges[own], edges[own + 1], log[own] - first, len(few))
+                for name, bits in zip(few, maps, strict=True):
+                    if name in held:
+                        bits = bits | np.frombuffer(held[name], np.uint8)
+                    held[name] = bits.tobytes()
+                if len(held) >= kept:
+                    yield given()
+                    held.clear()
+        if held:
+            yield given()
+
+    narrow = logs.select("app_id", "log_type", "line")
+    fields = ", ".join(f"{c} {t}" for c, t in narrow.dtypes[:2])
+    maps = narrow.mapInArrow(marking, f"{fields}, grams binary")
+    return maps.groupBy("app_id", "log_type").agg(F.expr("bitmap_or_agg(grams)").alias("grams"))
 
 
 def may_hold(grams: Column, text: str) -> Column:
     """Whether a log of this bitmap can hold ``text``; always, if that is shorter than a run."""
-    runs = sorted({text[i : i + _GRAM] for i in range(len(text) - _GRAM + 1)})
+    raw = text.encode()
+    runs = {int.from_bytes(raw[i : i + _GRAM], "little") for i in range(len(raw) - _GRAM + 1)}
     if not runs:
         return F.lit(True)
 
-    def is_set(run: str) -> Column:
-        bit = _bit(F.lit(run))
-        byte = F.conv(F.hex(F.substring(grams, F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        return byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) != 0
+    def is_set(bit: int) -> Column:
+        byte = F.conv(F.hex(F.substring(grams, bit // 8 + 1, 1)), 16, 10).cast("int")
+        return byte.bitwiseAND(1 << bit % 8) != 0
 
-    return reduce(lambda a, b: a & b, [is_set(r) for r in runs])
+    places = sorted({(run * _MIXER % (1 << 32)) >> _SPARE for run in runs})
+    return reduce(lambda a, b: a & b, [is_set(p) for p in places])
 
 
 def log_search(

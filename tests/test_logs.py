@@ -223,6 +223,27 @@ def test_bitmaps_rule_out_no_log_that_holds_the_text(spark):
     assert index.selectExpr("max(length(grams))").first()[0] == 4096
 
 
+def test_bitmaps_are_made_batch_by_batch(spark, monkeypatch):
+    """No row a run of bytes, and no sort of them; also lines cut by blocks and more logs than a task keeps."""
+    monkeypatch.setattr(joblogs, "_BLOCK", 16)
+    monkeypatch.setattr(joblogs, "_ABREAST", 3)
+    monkeypatch.setattr(joblogs, "_KEPT", 5)
+    rows = [(f"app{i % 11}", "stdout", "é" * (i % 7) + f"line {i} " * (i % 5)) for i in range(200)]
+    rows += [("app0", "stderr", None), ("app1", "stderr", ""), (None, "stderr", "some text"), ("app2", None, "ab")]
+    index = joblogs.log_index(logs(spark, rows).repartition(3))
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+    want = {}
+    for app, kind, line in rows:
+        raw = (line or "").encode()
+        runs = {int.from_bytes(raw[i : i + 3], "little") * 0x9E3779B1 % (1 << 32) >> 17 for i in range(len(raw) - 2)}
+        want.setdefault((app, kind), set()).update(runs)
+    got = index.collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert {i for i in range(32_768) if r.grams[i // 8] >> i % 8 & 1} == want[r.app_id, r.log_type]
+
+
 def test_an_indexed_search_reads_few_folders(spark, apps, tmp_path):
     """Folders it has no need of hold what no reader gets through."""
     rows = [(f"app{i:03d}", "stdout", f"{A} step {i}" + (" needle" if i in (20, 77) else "")) for i in range(100)]
