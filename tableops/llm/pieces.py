@@ -1,6 +1,7 @@
 """SentencePiece BPE encoding by suffix-array matching, and decoding.
 
-Text becomes chunks: a run of spaces and the characters up to the next one. No
+Text becomes chunks: a run of spaces and the characters up to the next one, cut again
+where characters meet that stand side by side in no piece, such as a letter and a full stop. No
 piece of the model goes beyond a chunk, so each different chunk of a batch is
 encoded once. The batch's new chunks are put one after the other and indexed by a
 suffix array; a binary search of every piece gives the range of its occurrences.
@@ -17,9 +18,10 @@ scores, which ``Model`` checks.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +32,10 @@ from tableops.llm.base import slices, spread, texts
 SPACE = "▁"
 #: The model file on the driver, unless ``spark.tableops.pieces`` names another.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
-_CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Chunks a worker remembers, and pairs of pieces.
-_KNOWN = 400_000
+#: Chunks a worker remembers in each of two generations, and pairs of pieces.
+_KNOWN = 300_000
+#: Places for the borders that were checked; as a power of two.
+_BORDERS = 20
 #: Characters of new chunks that are indexed at once.
 _INDEXED = 400_000
 #: Characters up to which chunks are relaxed side by side.
@@ -89,6 +92,7 @@ class Vocabulary:
                 self.bytes[int(p[1:-1], 16)] = i
         if any(SPACE in p.lstrip(SPACE) for p in usable):
             raise ValueError("a piece goes beyond a space")
+        self.chunk = _chunks(usable)
         by_score = sorted(usable, key=lambda p: (-model.scores[usable[p]], usable[p]))
         rank = {p: r for r, p in enumerate(p for p in by_score if len(p) > 1)}
         self.rank = np.full(n + 1, -1, dtype=np.int64)  # single characters: before all merges
@@ -121,6 +125,8 @@ class Vocabulary:
         self.pair_keys = np.array(sorted(pairs), dtype=np.int64)
         self.pair_ids = np.array([pairs[k] for k in sorted(pairs)], dtype=np.int64)
         self.checked: dict[int, bool] = {}
+        self.bordering = np.full(1 << _BORDERS, -1, dtype=np.int64)
+        self.kept = np.zeros(1 << _BORDERS, dtype=bool)
 
     def joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of merging ``a`` and ``b``, or a rank beyond all."""
@@ -156,6 +162,23 @@ class Vocabulary:
             live = live[go]
         return keeps
 
+    def borders(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``border``, of which each place of a table remembers its last pair."""
+        key = a << 32 | b
+        place = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BORDERS)
+        keeps = self.kept[place]
+        missed = np.flatnonzero(self.bordering[place] != key)
+        if len(missed):
+            pairs, first, which = np.unique(key[missed], return_index=True, return_inverse=True)
+            own = missed[first]
+            found = self.border(a[own], b[own])
+            keeps[missed] = found[which]
+            # of pairs that share a place the last is kept, and so is what was found for it
+            last = np.unique(place[own][::-1], return_index=True)[1]
+            last = len(own) - 1 - last
+            self.bordering[place[own[last]]], self.kept[place[own[last]]] = pairs[last], found[last]
+        return keeps
+
     def bordered(self, a: int, b: int) -> bool:
         key = a << 32 | b
         if key not in self.checked:
@@ -178,6 +201,29 @@ class Vocabulary:
         return text[1:] if text.startswith(" ") else text
 
 
+def _chunks(usable: Iterable[str]) -> re.Pattern:
+    """What a chunk is: spaces, then characters which are all of the largest set or all outside it.
+
+    Sets are those of characters that pieces join side by side, directly or by way of others.
+    """
+    into: dict[str, str] = {}
+
+    def root(c: str) -> str:
+        while into.setdefault(c, c) != c:
+            into[c] = c = into[into[c]]
+        return c
+
+    for piece in usable:
+        for a, b in pairwise(piece.lstrip(SPACE)):
+            into[root(a)] = root(b)
+    sets: dict[str, list[str]] = {}
+    for c in list(into):
+        sets.setdefault(root(c), []).append(c)
+    largest = re.escape("".join(max(sets.values(), key=lambda cs: (len(cs), min(cs)), default=[])))
+    own = f"{SPACE}*[{largest}]+|" if largest else ""
+    return re.compile(f"{own}{SPACE}*[^{largest}{SPACE}]+|{SPACE}+")
+
+
 def _merged(piece: str, rank: dict[str, int]) -> tuple[str, str] | None:
     """The last two symbols that byte-pair encoding joins to make ``piece``, if it does."""
     symbols = list(piece)
@@ -253,12 +299,18 @@ def encode_chunks(chunks: list[str], vocabulary: Vocabulary) -> list[bytes]:
     begins = np.cumsum(sizes + 1) - sizes - 1
     start, length, piece = _edges(chunks, vocabulary)
     end = start + length
-    chunk = np.searchsorted(begins, start, side="right") - 1
-    depth = end - begins[chunk]
-    depth = np.where(sizes[chunk] <= _ABREAST, depth, 0)  # long chunks go one by one
-    key = (depth.astype(np.int64) << 56) | (end.astype(np.int64) << 16)
-    order = np.argsort(key | (vocabulary.longest - length))
-    start, length, piece, end, depth = (x[order] for x in (start, length, piece, end, depth))
+    beginning = np.repeat(begins, sizes + 1)
+    beginning[np.repeat(sizes > _ABREAST, sizes + 1)] = -1
+    beginning = beginning[start]
+    depth = np.where(beginning >= 0, end - beginning, 0)  # long chunks go one by one
+    # one number an edge, which is sorted itself: by depth, end and length, the longest first
+    by_piece, by_length = vocabulary.unknown.bit_length(), vocabulary.longest.bit_length()
+    key = (depth.astype(np.int64) << 56) | (end.astype(np.int64) << (by_piece + by_length))
+    key |= ((vocabulary.longest - length).astype(np.int64) << by_piece) | piece
+    key.sort()
+    depth, end = key >> 56, (key & ((1 << 56) - 1)) >> (by_piece + by_length)
+    piece = key & ((1 << by_piece) - 1)
+    start = end - vocabulary.longest + ((key >> by_piece) & ((1 << by_length) - 1))
 
     total = int(begins[-1] + sizes[-1] + 2) if len(chunks) else 1
     last = np.full(total, -1, dtype=np.int64)  # the piece that ends at a position
@@ -281,7 +333,7 @@ def encode_chunks(chunks: list[str], vocabulary: Vocabulary) -> list[bytes]:
             e, before = e[last[end[e]] == -1], before[last[end[e]] == -1]
             good = before == -2
             check = np.flatnonzero(before >= 0)
-            good[check] = vocabulary.border(before[check], piece[e[check]].astype(np.int64))
+            good[check] = vocabulary.borders(before[check], piece[e[check]])
             e = e[good]
             last[end[e]], back[end[e]] = piece[e], start[e]
     for s, p, e in zip(
@@ -327,14 +379,19 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def __call__(self, batch_texts: list[str]) -> list[bytes]:
         """The ids of each text as 32-bit numbers."""
-        split = [_CHUNK.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in batch_texts]
-        if len(self.known) > _KNOWN:
-            self.known.clear()
-        known = self.known
+        parts = self.vocabulary.chunk.findall
+        split = [parts(SPACE + t.replace(" ", SPACE)) if t else [] for t in batch_texts]
+        if len(self.known) > _KNOWN:  # chunks that come again move on, the others go with the next turn
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         new = list({c for chunks in split for c in chunks if c not in known})
+        if older:
+            known.update((c, older[c]) for c in new if c in older)
+            new = [c for c in new if c not in known]
         ends = np.cumsum([len(c) for c in new])
         at = 0
         while at < len(new):

@@ -69,6 +69,32 @@ def test_indexing_in_parts_and_forgetting(model, library, monkeypatch):
         assert np.frombuffer(encoder([text])[0], np.int32).tolist() == library.encode(text)
 
 
+def test_words_are_encoded_once(model, library, monkeypatch):
+    """Whatever signs stand beside them, and however many others come between."""
+    made = []
+    encoded = pieces.encode_chunks
+    monkeypatch.setattr(pieces, "encode_chunks", lambda new, v: made.extend(new) or encoded(new, v))
+    monkeypatch.setattr(pieces, "_KNOWN", 20)
+    encoder = pieces.Encoder(pieces.Vocabulary(model))
+    rng = random.Random(2)
+    for i in range(30):
+        seldom = ["".join(rng.choices("abcdefgh", k=9)) for _ in range(9)]
+        text = " ".join(["often" + rng.choice([".", ",\n", ")", "!?"]) + "Often", *seldom])
+        assert np.frombuffer(encoder([text])[0], np.int32).tolist() == library.encode(text)
+    assert sum("often" in c for c in made) == sum("Often" in c for c in made) == 1
+    assert len(encoder.known) + len(encoder.older) < 100
+
+
+def test_borders_that_share_a_place(model, monkeypatch):
+    """A table of few places gives what no table gives."""
+    monkeypatch.setattr(pieces, "_BORDERS", 3)
+    vocabulary = pieces.Vocabulary(model)
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        a, b = vocabulary.ids[rng.integers(0, len(vocabulary.ids), (2, 500)) % 40]
+        assert (vocabulary.borders(a, b) == vocabulary.border(a, b)).all()
+
+
 def test_odd_rows(spark, model, make_docs):
     rows = [(1, None), (1, None), (2, ""), (None, "x"), (3, "long " * 30_000)]
     docs = make_docs(rows).withColumnsRenamed({"lang": "ids", "source": "pieces"})
