@@ -33,7 +33,7 @@ SPACE = "▁"
 #: The model file on the driver, unless ``spark.tableops.pieces`` names another.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 #: Chunks a worker remembers in each of two generations, and pairs of pieces.
-_KNOWN = 300_000
+_KNOWN = 150_000
 #: Places for the borders that were checked; as a power of two.
 _BORDERS = 20
 #: Characters of new chunks that are indexed at once.
