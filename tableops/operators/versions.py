@@ -12,7 +12,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tableops.operators.tables import create_table, drop_table, quoted, table_exists
+from tableops.operators.tables import create_table, drop_table, leftover_dir, quoted, table_exists
+from tableops.session import path_exists
 
 
 def versions(spark: SparkSession, name: str) -> list[int]:
@@ -51,11 +52,15 @@ def publish(df: DataFrame, name: str, keep: int = 2, **layout) -> DataFrame:
     spark = df.sparkSession
     before = current(spark, name)
     number = max([*versions(spark, name), before or 0]) + 1
+    failed = []  # folders without a table, which late tasks of a failed job may still write to
+    while path_exists(spark, leftover_dir(spark, f"{name}__v{number}")):
+        failed.append(number)
+        number += 1
     create_table(df, f"{name}__v{number}", **layout)
     _point(spark, name, number)
     shown = [v for v in versions(spark, name) if before is None or v <= before]
     unseen = [v for v in versions(spark, name) if before is not None and before < v < number]
-    for old in [*unseen, *shown[: max(0, len(shown) + 1 - keep)]]:
+    for old in [*failed, *unseen, *shown[: max(0, len(shown) + 1 - keep)]]:
         if old != number:
             drop_table(spark, f"{name}__v{old}")
     return spark.table(name)

@@ -5,6 +5,7 @@ import threading
 import pytest
 
 from tableops.operators import tables, versions
+from tableops.session import path_exists
 
 
 def rows(spark, n, value):
@@ -52,6 +53,17 @@ def test_publishing_from_itself_and_rolling_back(spark, db):
     assert spark.catalog.listTables(db) == [] and versions.current(spark, name) is None
 
 
+def test_files_of_a_failed_version_stop_no_other(spark, db):
+    """A task that ends late leaves a folder where the next version would go."""
+    name = f"{db}.t"
+    versions.publish(rows(spark, 3, 1), name)
+    late = tables.leftover_dir(spark, f"{name}__v2")
+    rows(spark, 9, 9).write.parquet(late)
+    assert versions.publish(rows(spark, 4, 2), name).count() == 4
+    assert versions.versions(spark, name) == [1, 3]
+    assert not path_exists(spark, late)
+
+
 def test_a_failed_version_is_never_shown(spark, db):
     name = f"{db}.t"
     versions.publish(rows(spark, 3, 1), name)
